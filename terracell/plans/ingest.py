@@ -14,6 +14,7 @@ from terracell.operators import append, calendar, conform, filters, raster
 from terracell.schema import (
     ARCHIVE_SCHEMA,
     CRS,
+    DAILY_SCHEMA,
     ERA5_BATCH_DAYS,
     PRECIPITATION_NAMES,
     TEMPERATURE_NAMES,
@@ -36,8 +37,8 @@ def _or_empty(spark: SparkSession, read, schema) -> DataFrame:
 
 def daily_days(spark: SparkSession, path: str) -> DataFrame:
     """Source and day of every daily raster: partition names, no data is read."""
-    read = lambda: store.scan_daily(spark, path).select("source", "date").distinct()
-    return _or_empty(spark, read, "source STRING, date DATE")
+    read = lambda: store.scan_daily(spark, path)
+    return _or_empty(spark, read, DAILY_SCHEMA).select("source", "date").distinct()
 
 
 def archive_or_empty(spark: SparkSession, path: str) -> DataFrame:

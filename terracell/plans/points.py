@@ -54,14 +54,16 @@ def check_point_requests(
     tolerance: float = POINT_TOLERANCE_DEG,
 ) -> DataFrame:
     """Requests with parsed days, nearest cell and ``status``; a good request out of
-    tolerance is ``no_cell``."""
+    tolerance is ``no_cell``.  Only good requests keep their cell."""
     checked = requests.withColumn("status", request_status(requests.columns, sources, as_of))
     checked = checked.withColumns(
         {"start_date": parse_day("start_date"), "end_date": parse_day("end_date")}
     )
     snapped = lookup.snap_sites(checked, grid, tolerance)
     off = (F.col("status") == "ok") & ~F.col("matched")
-    return snapped.withColumn("status", F.when(off, "no_cell").otherwise(F.col("status")))
+    snapped = snapped.withColumn("status", F.when(off, "no_cell").otherwise(F.col("status")))
+    good = F.col("status") == "ok"
+    return snapped.withColumns({c: F.when(good, F.col(c)) for c in ("row", "col")})
 
 
 def _questions(checked: DataFrame, keys) -> DataFrame:
@@ -171,9 +173,11 @@ def pixel_value(
     days = cells.select("source", "date")
     on_day = timematch.time_match(placed, days, "exact")
     keys = ["source", "date", "row", "col"]
+    good = (F.col("status") == "ok") & F.col("matched")
+    on_day = on_day.withColumns({c: F.when(good, F.col(c)) for c in ("row", "col")})
     # Two archives of one day would both answer: the larger value does.
     found = cells.join(
-        on_day.filter("status = 'ok' AND matched").select(*keys).distinct(), keys, "left_semi"
+        on_day.filter(good).select(*keys).distinct(), keys, "left_semi"
     )
     found = found.groupBy(*keys).agg(F.max("value").alias("value"))
     empty = (F.col("status") == "ok") & F.col("value").isNull()

@@ -39,43 +39,51 @@ PRECIPITATION_NAMES = ("prec", "rdp", "pr")
 TEMPERATURE_NAMES = ("t2m", "2t", "temperature_2m")
 
 
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES = {
+    "string": T.StringType(),
+    "int": T.IntegerType(),
+    "float": T.FloatType(),
+    "double": T.DoubleType(),
+    "date": T.DateType(),
+}
+
 
+def _struct(**fields) -> T.StructType:
+    """Nullable fields by type name (a DDL text would need a running session)."""
+    return T.StructType([T.StructField(n, _TYPES.get(t, t)) for n, t in fields.items()])
 
+
+BOX_SCHEMA = _struct(west="double", south="double", east="double", north="double")
 # One row per source, day and grid cell.  ``value`` is NULL where the raster has
 # no data; NaN never enters a table (``operators.conform.conform_cells``).
-CELL_SCHEMA = _struct(
-    "source STRING, date DATE, row INT, col INT, lat DOUBLE, lon DOUBLE, value FLOAT"
-)
+_AXES = dict(row="int", col="int", lat="double", lon="double", value="float")
+CELL_SCHEMA = _struct(source="string", date="date", **_AXES)
 # The archive adds its partition column and the clustering key.
-ARCHIVE_SCHEMA = _struct(
-    "source STRING, year INT, tile_id INT, date DATE, row INT, col INT,"
-    " lat DOUBLE, lon DOUBLE, value FLOAT"
-)
+ARCHIVE_SCHEMA = _struct(source="string", year="int", tile_id="int", date="date", **_AXES)
+DAILY_SCHEMA = _struct(tile_id="int", source="string", date="date", **_AXES)
 TILE_SCHEMA = _struct(
-    "source STRING, date DATE, first_row INT, first_col INT, width INT, values ARRAY<FLOAT>"
+    source="string",
+    date="date",
+    first_row="int",
+    first_col="int",
+    width="int",
+    values=T.ArrayType(T.FloatType()),
 )
-SITE_SCHEMA = _struct("site_id STRING, lat DOUBLE, lon DOUBLE")
+SITE_SCHEMA = _struct(site_id="string", lat="double", lon="double")
 SCENE_SCHEMA = _struct(
-    "scene_id STRING, ts TIMESTAMP_NTZ, cloud_cover DOUBLE,"
-    " bounds STRUCT<west: DOUBLE, south: DOUBLE, east: DOUBLE, north: DOUBLE>"
+    scene_id="string", ts=T.TimestampNTZType(), cloud_cover="double", bounds=BOX_SCHEMA
 )
 STYLE_SCHEMA = _struct(
-    "style STRING, quantity DOUBLE, color STRING, label STRING, opacity DOUBLE"
-)
-HISTORY_REQUEST = _struct(
-    "source STRING, lat DOUBLE, lon DOUBLE, start_date STRING, end_date STRING"
-)
-TRIGGER_REQUEST = _struct(
-    "source STRING, lat DOUBLE, lon DOUBLE, start_date STRING, end_date STRING, trigger DOUBLE"
+    style="string", quantity="double", color="string", label="string", opacity="double"
 )
-AREA_REQUEST = _struct(
-    "source STRING, lat DOUBLE, lon DOUBLE, start_date STRING, end_date STRING,"
-    " trigger DOUBLE, radius DOUBLE"
+_REQUEST = dict(
+    source="string", lat="double", lon="double", start_date="string", end_date="string"
 )
+HISTORY_REQUEST = _struct(**_REQUEST)
+TRIGGER_REQUEST = _struct(**_REQUEST, trigger="double")
+AREA_REQUEST = _struct(**_REQUEST, trigger="double", radius="double")
 PIXEL_REQUEST = _struct(
-    "source STRING, date STRING, lat DOUBLE, lon DOUBLE, width INT, height INT"
+    source="string", date="string", lat="double", lon="double", width="int", height="int"
 )
 
 

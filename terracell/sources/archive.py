@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from terracell.schema import ARCHIVE_SCHEMA, CELL_SCHEMA
+from terracell.schema import ARCHIVE_SCHEMA, DAILY_SCHEMA
 
 # A file holds so many neighbouring tiles of a source and year: 40 tiles x 400 cells
 # x 366 days is 6 million rows, however many sources, years and tiles there are.
@@ -66,8 +66,7 @@ def write_archive_table(cells: DataFrame, table: str, buckets: int, mode: str =
 def write_daily(cells: DataFrame, path: str) -> None:
     """One partition per source and day.  Writing a day again replaces that day and
     leaves the others alone, so a repeated run is harmless."""
-    columns = [f.name for f in CELL_SCHEMA]
-    rows = cells.select("tile_id", *[F.col(c).cast(CELL_SCHEMA[c].dataType) for c in columns])
+    rows = cells.select(*[F.col(f.name).cast(f.dataType) for f in DAILY_SCHEMA])
     (
         _clustered(rows, "source", "date")
         .write.mode("overwrite")
@@ -78,8 +77,4 @@ def write_daily(cells: DataFrame, path: str) -> None:
 
 
 def scan_daily(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("tile_id INT, " + _ddl(CELL_SCHEMA)).parquet(path)
-
-
-def _ddl(schema) -> str:
-    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
+    return spark.read.schema(DAILY_SCHEMA).parquet(path)
