@@ -128,19 +128,15 @@ def variable_conform(spark, sf_dir):
         lat, lon, CAST(v AS DOUBLE) AS value FROM ({sql_cube(by_source=True)})""",
 )
 def tiles_to_cells(spark, sf_dir):
-    """Cells packed into 20 x 20 tiles and unpacked again."""
+    """Cells packed into tiles of 1 x 20 and unpacked again."""
     cells = cube(spark, sf_dir, by_source=True)
-    first = lambda c: (F.floor(F.col(c) / 20) * 20).cast("int")
-    entry = F.struct(((F.col("row") % 20) * 20 + F.col("col") % 20).alias("k"), F.col("value").alias("v"))
-    packed = cells.groupBy(
-        "source", "date", first("row").alias("first_row"), first("col").alias("first_col")
-    ).agg(F.map_from_entries(F.collect_list(entry)).alias("m"))
-    block = F.transform(
-        F.sequence(F.lit(0), F.lit(399)), lambda i: F.try_element_at(F.col("m"), i)
-    )
-    packed = packed.select(
-        "source", "date", "first_row", "first_col", F.lit(20).alias("width"), block.alias("values")
+    first = (F.floor(F.col("col") / 20) * 20).cast("int").alias("first_col")
+    entry = F.struct((F.col("col") % 20).alias("k"), F.col("value").alias("v"))
+    packed = cells.groupBy("source", "date", F.col("row").alias("first_row"), first).agg(
+        F.map_from_entries(F.collect_list(entry)).alias("m")
     )
+    block = F.array(*[F.try_element_at("m", F.lit(i)) for i in range(20)]).alias("values")
+    packed = packed.select("source", "date", "first_row", "first_col", F.lit(20).alias("width"), block)
     done = filters.drop_missing(tiles.tiles_to_cells(packed, GRID))
     return out(done.drop("year"))
 

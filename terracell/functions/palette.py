@@ -148,48 +148,41 @@ def _rgb(color: str) -> tuple[int, int, int]:
     return int(color[1:3], 16), int(color[3:5], 16), int(color[5:7], 16)
 
 
-def _stop(q, color, opacity):
-    r, g, b = _rgb(color)
-    return {"q": float(q), "r": float(r), "g": float(g), "b": float(b), "a": float(opacity)}
-
-
 def color_ramp(value, style) -> Column:
     """Linear mix between the two stops around a value, as struct(color, opacity).
 
-    The stops are few and known when the plan is made, so they are literals in a
-    CASE: no join and no lookup.  ``style`` is a name in ``STYLES`` or a list of stops.
+    The stops are few and known when the plan is made, so each segment is one branch
+    of a CASE with literal ends: no join, no lookup, and generated code stays small.
+    ``style`` is a name in ``STYLES`` or a list of stops.
     """
     stops = sorted(STYLES[style] if isinstance(style, str) else style)
     value = _col(value).cast("double")
-    points = [_stop(q, c, a) for q, c, _, a in stops]
-
-    def segment(lo, hi):
-        fields = [F.lit(lo[k]).alias(f"{k}0") for k in "qrgba"]
-        fields += [F.lit(hi[k]).alias(f"{k}1") for k in "qrgba"]
-        return F.struct(*fields)
-
-    flat = [dict(points[0], q=points[0]["q"] - 1)] + points
-    flat += [dict(points[-1], q=points[-1]["q"] + 1)]
-    pick = F.when(value.isNull(), F.lit(None).cast(_SEGMENT))
-    for lo, hi in zip(flat[:-2], flat[1:-1]):
-        pick = pick.when(value < F.lit(hi["q"]), segment(lo, hi))
-    pick = pick.otherwise(segment(flat[-2], flat[-1]))
-
-    share = F.least(
-        F.greatest((value - pick["q0"]) / (pick["q1"] - pick["q0"]), F.lit(0.0)), F.lit(1.0)
-    )
-
-    def mix(k):
-        return pick[f"{k}0"] + (pick[f"{k}1"] - pick[f"{k}0"]) * share
 
-    channel = [F.floor(mix(k) + F.lit(0.5)).cast("int") for k in "rgb"]
-    color = F.format_string("#%02X%02X%02X", *channel)
+    def packed(color):
+        r, g, b = _rgb(color)
+        return F.lit((r << 16) + (g << 8) + b).cast("bigint")
+
+    first, last = stops[0], stops[-1]
+    color = F.when(value < F.lit(float(first[0])), packed(first[1]))
+    opacity = F.when(value < F.lit(float(first[0])), F.lit(float(first[3])))
+    for (q0, c0, _, a0), (q1, c1, _, a1) in zip(stops, stops[1:]):
+        share = (value - F.lit(float(q0))) / F.lit(float(q1) - float(q0))
+        mixed = F.lit(0).cast("bigint")
+        for low, high, place in zip(_rgb(c0), _rgb(c1), (1 << 16, 1 << 8, 1)):
+            if low == high:
+                level = F.lit(low).cast("bigint")
+            else:
+                level = F.floor(F.lit(float(low)) + F.lit(float(high - low)) * share + F.lit(0.5))
+            mixed = mixed + level * F.lit(place)
+        color = color.when(value < F.lit(float(q1)), mixed)
+        if a0 != a1:
+            ramp = F.lit(float(a0)) + F.lit(float(a1 - a0)) * share
+            opacity = opacity.when(value < F.lit(float(q1)), ramp)
+        elif a0 != last[3]:
+            opacity = opacity.when(value < F.lit(float(q1)), F.lit(float(a0)))
+    color, opacity = color.otherwise(packed(last[1])), opacity.otherwise(float(last[3]))
+    text = F.concat(F.lit("#"), F.lpad(F.hex(color), 6, "0"))
     return F.struct(
-        F.when(value.isNull(), TRANSPARENT).otherwise(color).alias("color"),
-        F.when(value.isNull(), F.lit(0.0)).otherwise(mix("a")).alias("opacity"),
+        F.when(value.isNull(), TRANSPARENT).otherwise(text).alias("color"),
+        F.when(value.isNull(), F.lit(0.0)).otherwise(opacity).alias("opacity"),
     )
-
-
-_SEGMENT = "struct<{}>".format(
-    ",".join(f"{k}{i}:double" for i in (0, 1) for k in "qrgba")
-)

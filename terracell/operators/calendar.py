@@ -85,7 +85,7 @@ def date_batches(days: DataFrame, batch_days: int, keys=("source",)) -> DataFram
 def with_batch(days: DataFrame, batch_days: int, keys=("source",)) -> DataFrame:
     """Days with the first day of the batch they belong to (``batch_start``)."""
     batches = date_batches(days, batch_days, keys).withColumnRenamed("start_date", "batch_start")
-    spine = batches.withColumn("date", F.explode(days_between("batch_start", "end_date")))
+    spine = batches.withColumn("date", F.explode(days_between(F.col("batch_start"), F.col("end_date"))))
     return days.join(spine.select(*keys, "date", "batch_start"), [*keys, "date"])
 
 

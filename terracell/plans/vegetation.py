@@ -14,6 +14,7 @@ from terracell.schema import (
     BBox,
     Grid,
 )
+from terracell.plans.ingest import archive_or_empty
 from terracell.sources import archive as store
 
 
@@ -62,24 +63,26 @@ def ingest_vegetation(
     grid: Grid,
     box: BBox,
     daily_path: str,
-    archive: DataFrame,
     archive_path: str,
+    work_path: str,
 ) -> None:
     """Index pixels of the picked scenes to the daily set and the archive.
 
-    Where scenes of one day share a cell the latest scene counts.  ``archive`` is the
-    archive as it was before (``plans.ingest.archive_or_empty``).
+    Where scenes of one day share a cell the latest scene counts.  The finished cells
+    are written to ``work_path`` once; both targets are filled from there.
     """
-    sources = [s for s in VEGETATION_SOURCES]
-    chosen = picked.filter(F.col("source").isin(sources))
+    spark = pixels.sparkSession
+    chosen = picked.filter(F.col("source").isin(*VEGETATION_SOURCES))
     chosen = chosen.select("scene_id", "ts", "source", F.col("ts").cast("date").alias("date"))
     placed = pixels.join(chosen, "scene_id").withColumns(
         {"lat": geo.lat_of("row", grid), "lon": geo.lon_of("col", grid)}
     )
-    cells = append.last_per_day(
+    last = append.last_per_day(
         placed.select("source", "date", "row", "col", "ts", "scene_id", "lat", "lon", "value"),
         order=("ts", "scene_id"),
     )
-    cells = conform.with_keys(cells.drop("ts", "scene_id"), grid)
+    finished = conform.with_keys(last.drop("ts", "scene_id"), grid)
+    finished.write.mode("overwrite").parquet(f"{work_path}/cells")
+    cells = spark.read.parquet(f"{work_path}/cells")
     store.write_daily(filters.clip_box(cells, box, grid), daily_path)
-    store.write_archive(append.new_rows(archive, cells), archive_path)
+    store.write_archive(append.new_rows(archive_or_empty(spark, archive_path), cells), archive_path)
