@@ -37,6 +37,11 @@ def _clustered(cells: DataFrame, *partition: str) -> DataFrame:
     Hashing on the band as well keeps a source or a day that holds much of the data
     from landing in one task.
     """
+    # The writer keeps this order only if it begins with the partition columns as they
+    # are written.  A source that is NULLable or a constant is rewritten by the
+    # optimizer and the writer would sort anew; one that comes out of a generator is not.
+    plain = F.explode(F.array(F.coalesce("source", F.lit("unknown"))))
+    cells = cells.withColumn("source", plain)
     band = F.floor(F.col("tile_id") / F.lit(TILES_PER_FILE))
     return cells.repartition(*[F.col(p) for p in partition], band).sortWithinPartitions(
         *partition, "tile_id", "date", "row", "col"
