@@ -16,10 +16,12 @@ def exceedance_counts(series: DataFrame, keys=("site_id",), trigger="trigger") -
 def exceedance_list(exceeding: DataFrame, keys=("site_id",)) -> DataFrame:
     """Days and rounded values of each site, in order of the days.
 
-    A list is no longer than the calendar: one site has one cell.
+    A day counts once, with its largest value: copies of a cell are folded before
+    the lists are built, so a list is no longer than the calendar.
     """
+    days = exceeding.groupBy(*keys, "date").agg(F.max("value").alias("value"))
     entry = F.struct("date", values.round2("value").alias("value"))
-    return exceeding.groupBy(*keys).agg(
+    return days.groupBy(*keys).agg(
         F.count("*").alias("n_exceedances"),
         F.array_sort(F.collect_list(entry)).alias("exceedances"),
     )
@@ -42,8 +44,11 @@ def exceedances_by_date(points: DataFrame, keys=("request_id",)) -> DataFrame:
 
     A day of a wide area has as many points as the area has cells.  The tile keeps
     every list at a tile's size (400 cells) however wide the area and however hot the
-    day; a day's answer is its parts, and nothing is left out.
+    day; a day's answer is its parts, and nothing is left out.  Copies of a cell are
+    folded first, to the largest value.
     """
+    place = [*keys, "date", "tile_id", "latitude", "longitude"]
+    points = points.groupBy(*place).agg(F.max("precipitation_mm").alias("precipitation_mm"))
     entry = F.struct("latitude", "longitude", "precipitation_mm")
     return points.groupBy(*keys, "date", "tile_id").agg(
         F.array_sort(F.collect_list(entry)).alias("points")

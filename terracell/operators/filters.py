@@ -51,6 +51,13 @@ def exceeds(cells: DataFrame, trigger, column: str = "value") -> DataFrame:
     return cells.filter(values.exceeds(column, trigger))
 
 
+def above_lowest(cells: DataFrame, requests: DataFrame) -> DataFrame:
+    """Cells above the lowest trigger anyone asks for.  The one number is found first,
+    and most cells then leave in the scan stage, before any join."""
+    lowest = requests.agg(F.min("trigger")).scalar()
+    return cells.filter(values.exceeds("value", lowest))
+
+
 def within_radius(cells: DataFrame, lat: float, lon: float, radius_km: float) -> DataFrame:
     return cells.filter(
         geo.within_radius("lat", "lon", F.lit(lat), F.lit(lon), F.lit(radius_km))

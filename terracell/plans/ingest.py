@@ -10,7 +10,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from terracell.functions import names, values
-from terracell.operators import append, calendar, conform, filters, raster
+from terracell.operators import append, calendar, conform, filters, lookup, raster
+from terracell.operators.sides import per_day_side
 from terracell.schema import (
     ARCHIVE_SCHEMA,
     CRS,
@@ -35,16 +36,27 @@ def _or_empty(spark: SparkSession, read, schema) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def daily_days(spark: SparkSession, path: str) -> DataFrame:
-    """Source and day of every daily raster: partition names, no data is read."""
-    read = lambda: store.scan_daily(spark, path)
-    return _or_empty(spark, read, DAILY_SCHEMA).select("source", "date").distinct()
+def daily_days(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """The wanted days that have a daily raster.  Source and day are partition names:
+    no column is read, and the folders of other days are not opened."""
+    cells = _or_empty(spark, lambda: store.scan_daily(spark, path), DAILY_SCHEMA)
+    return append.restrict_dates(cells.select("source", "date"), wanted).distinct()
 
 
 def archive_or_empty(spark: SparkSession, path: str) -> DataFrame:
     return _or_empty(spark, lambda: store.scan_archive(spark, path), ARCHIVE_SCHEMA)
 
 
+def archive_days(spark: SparkSession, path: str, windows: DataFrame) -> DataFrame:
+    """Days the archive has in the years of the windows; other years are not read."""
+    years = lookup.by_year(windows.select("source", "start_date", "end_date"))
+    years = years.select("source", "year").distinct()
+    cells = archive_or_empty(spark, path).select("source", "year", "date")
+    # A row per source and year: smaller still than one per day.
+    kept = cells.join(per_day_side(years), ["source", "year"], "left_semi")
+    return calendar.distinct_dates(kept)
+
+
 def run_outcomes(wanted: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
     """``skipped`` (was there), ``created`` or ``error`` for each wanted day."""
     keys = ["source", "date"]
@@ -82,7 +94,7 @@ def ingest_precipitation(
     """
     spark = raw.sparkSession
     wanted = calendar.day_spine(windows)
-    before = _freeze(daily_days(spark, daily_path), f"{work_path}/before")
+    before = _freeze(daily_days(spark, daily_path, wanted), f"{work_path}/before")
     todo = filters.skip_existing(wanted, before)
     shaped = conform.standardize_dims(raw)
     if "value" not in shaped.columns:
@@ -91,9 +103,11 @@ def ingest_precipitation(
     cells = filters.clip_box(cells, box, grid)
     valid = raster.validate_granules(cells.withColumn("crs", F.lit(CRS))).filter("status = 'ok'")
     store.write_daily(append.restrict_dates(cells, valid), daily_path)
-    after = daily_days(spark, daily_path)
+    after = daily_days(spark, daily_path, wanted)
     if index_path:
-        located = after.withColumn("path", names.granule_name("source", "date"))
+        # The index is rebuilt from every folder of the set.
+        located = store.scan_daily(spark, daily_path).select("source", "date").distinct()
+        located = located.withColumn("path", names.granule_name("source", "date"))
         index.write_mosaic_index(index.mosaic_index(located, box), index_path)
     return run_outcomes(wanted, before, after)
 
@@ -116,10 +130,9 @@ def ingest_temperature(
     the batch it was fetched in and its outcome in both targets.
     """
     spark = raw.sparkSession
-    daily_before = _freeze(daily_days(spark, daily_path), f"{work_path}/daily")
-    archive_days = calendar.distinct_dates(archive_or_empty(spark, archive_path))
-    archive_before = _freeze(archive_days, f"{work_path}/archive")
     wanted = calendar.day_spine(windows)
+    daily_before = _freeze(daily_days(spark, daily_path, wanted), f"{work_path}/daily")
+    archive_before = _freeze(archive_days(spark, archive_path, windows), f"{work_path}/archive")
     missing = calendar.missing_dates(wanted, daily_before, archive_before)
     missing = calendar.with_batch(missing, batch_days)
 
@@ -141,8 +154,8 @@ def ingest_temperature(
     store.write_archive(append.new_rows(archive_before, boxed), archive_path)
 
     keys = ["source", "date"]
-    daily = run_outcomes(wanted, daily_before, daily_days(spark, daily_path))
-    kept = calendar.distinct_dates(archive_or_empty(spark, archive_path))
+    daily = run_outcomes(wanted, daily_before, daily_days(spark, daily_path, wanted))
+    kept = archive_days(spark, archive_path, windows)
     archived = run_outcomes(wanted, archive_before, kept)
     return (
         missing.select(*keys, "batch_start")

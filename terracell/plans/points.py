@@ -113,7 +113,8 @@ def point_triggers(cells: DataFrame, requests: DataFrame, grid: Grid, **check) -
     """Every request with ``status``, ``n_exceedances`` and the list of them."""
     checked = check_point_requests(requests, grid, **check)
     keys = [*_QUESTION, "trigger"]
-    series = _series(cells, _questions(checked, keys))
+    questions = _questions(checked, keys)
+    series = _series(filters.above_lowest(cells, questions), questions)
     over = series.filter(values.exceeds("value", F.col("trigger")))
     answers = aggregates.exceedance_list(over, keys)
     nothing = F.array().cast("array<struct<date:date,value:double>>")

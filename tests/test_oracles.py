@@ -24,7 +24,7 @@ def duck():
 
 
 def _sorted(rows):
-    return sorted(rows, key=lambda r: tuple((x is None, str(type(x)), x or 0) for x in r))
+    return sorted(rows, key=lambda r: tuple((x is None, str(type(x)), 0 if x is None else x) for x in r))
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
