@@ -475,8 +475,8 @@ def files_per_dataset(spark, sf_dir):
 
 @query(
     "run_summary",
-    """SELECT o_orderpriority AS run, CAST(count_if(o_orderstatus = 'F') AS BIGINT) AS created,
-        CAST(count_if(o_orderstatus = 'O') AS BIGINT) AS skipped, CAST(count_if(o_orderstatus = 'P') AS BIGINT) AS errors
+    """SELECT o_orderpriority AS run, count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS created,
+        count(CASE WHEN o_orderstatus = 'O' THEN 1 END) AS skipped, count(CASE WHEN o_orderstatus = 'P' THEN 1 END) AS errors
         FROM orders GROUP BY 1""",
 )
 def run_summary(spark, sf_dir):

@@ -152,7 +152,7 @@ def point_triggers(spark, sf_dir):
 
 @query(
     "n_exceedances",
-    f"""SELECT q.id AS request_id, CAST(count_if(v > trig) AS BIGINT) AS n_exceedances FROM {_SERIES} GROUP BY q.id""",
+    f"""SELECT q.id AS request_id, count(CASE WHEN v > trig THEN 1 END) AS n_exceedances FROM {_SERIES} GROUP BY q.id""",
 )
 def n_exceedances(spark, sf_dir):
     cells = cube(spark, sf_dir, by_source=True, missing=True)

@@ -67,7 +67,7 @@ def kelvin_to_celsius(spark, sf_dir):
 
 @query(
     "missing_values",
-    f"""SELECT count(*) AS n_cells, count(v) AS n_values, CAST(count_if(v > 45) AS BIGINT) AS n_over,
+    f"""SELECT count(*) AS n_cells, count(v) AS n_values, count(CASE WHEN v > 45 THEN 1 END) AS n_over,
         sum(coalesce(CAST(v AS DOUBLE), -9999)) AS with_sentinel FROM ({sql_raw(missing=True)})""",
 )
 def missing_values(spark, sf_dir):
@@ -481,8 +481,8 @@ def raster_align(spark, sf_dir):
 @query(
     "raster_compare",
     f"""SELECT CAST(max(abs(a - b)) AS DOUBLE) AS max_abs, round(avg(CAST(abs(a - b) AS DOUBLE)), 6) AS mean_abs,
-        CAST(count_if(abs(a - b) > 0.001) AS BIGINT) AS n_different,
-        round(100.0::DOUBLE * count_if(abs(a - b) > 0.001) / count(*), 6) AS pct_different FROM ({_PAIR})""",
+        count(CASE WHEN abs(a - b) > 0.001 THEN 1 END) AS n_different,
+        round(100.0::DOUBLE * count(CASE WHEN abs(a - b) > 0.001 THEN 1 END) / count(*), 6) AS pct_different FROM ({_PAIR})""",
 )
 def raster_compare(spark, sf_dir):
     stats = raster.raster_diff_stats(_pair(spark, sf_dir))
