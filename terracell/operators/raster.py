@@ -43,17 +43,16 @@ def histogram(cells: DataFrame, bins: int = HISTOGRAM_BINS, keys=RASTER) -> Data
     empty bins; missing values are not counted."""
     keys = list(keys)
     v = F.col("value").cast("double")
-    data = cells.filter(v.isNotNull())
-    # Counting equal values first makes both later steps work on few rows where
-    # values repeat, and costs no extra shuffle.
-    counts = data.groupBy(*keys, v.alias("v")).agg(F.count("*").alias("n"))
-    limits = counts.groupBy(*keys).agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    data = cells.filter(v.isNotNull()).select(*keys, v.alias("v"))
+    # Two reads of the values and no shuffle of them: both aggregations are nearly
+    # complete before their shuffle.
+    limits = data.groupBy(*keys).agg(F.min("v").alias("low"), F.max("v").alias("high"))
     if set(keys) <= set(RASTER):
         limits = per_day_side(limits)
-    binned = counts.join(limits, keys).withColumn(
+    binned = data.join(limits, keys).withColumn(
         "bin", _bin(F.col("v"), F.col("low"), F.col("high"), bins).cast("int")
     )
-    return binned.groupBy(*keys, "low", "high", "bin").agg(F.sum("n").alias("count"))
+    return binned.groupBy(*keys, "low", "high", "bin").agg(F.count("*").alias("count"))
 
 
 def raster_align(a: DataFrame, b: DataFrame, on=("row", "col")) -> DataFrame:

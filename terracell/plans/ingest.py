@@ -47,9 +47,8 @@ def archive_or_empty(spark: SparkSession, path: str) -> DataFrame:
     return _or_empty(spark, lambda: store.scan_archive(spark, path), ARCHIVE_SCHEMA)
 
 
-def archive_days(spark: SparkSession, path: str, windows: DataFrame) -> DataFrame:
-    """Days the archive has in the years of the windows; other years are not read."""
-    years = lookup.by_year(windows.select("source", "start_date", "end_date"))
+def archive_days(spark: SparkSession, path: str, years: DataFrame) -> DataFrame:
+    """Days the archive has in some years (``source``, ``year``); others are not read."""
     years = years.select("source", "year").distinct()
     cells = archive_or_empty(spark, path).select("source", "year", "date")
     # A row per source and year: smaller still than one per day.
@@ -131,8 +130,9 @@ def ingest_temperature(
     """
     spark = raw.sparkSession
     wanted = calendar.day_spine(windows)
+    years = lookup.by_year(windows)
     daily_before = _freeze(daily_days(spark, daily_path, wanted), f"{work_path}/daily")
-    archive_before = _freeze(archive_days(spark, archive_path, windows), f"{work_path}/archive")
+    archive_before = _freeze(archive_days(spark, archive_path, years), f"{work_path}/archive")
     missing = calendar.missing_dates(wanted, daily_before, archive_before)
     missing = calendar.with_batch(missing, batch_days)
 
@@ -155,7 +155,7 @@ def ingest_temperature(
 
     keys = ["source", "date"]
     daily = run_outcomes(wanted, daily_before, daily_days(spark, daily_path, wanted))
-    kept = archive_days(spark, archive_path, windows)
+    kept = archive_days(spark, archive_path, years)
     archived = run_outcomes(wanted, archive_before, kept)
     return (
         missing.select(*keys, "batch_start")

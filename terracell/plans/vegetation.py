@@ -14,7 +14,7 @@ from terracell.schema import (
     BBox,
     Grid,
 )
-from terracell.plans.ingest import archive_or_empty
+from terracell.plans.ingest import archive_days
 from terracell.sources import archive as store
 
 
@@ -85,4 +85,5 @@ def ingest_vegetation(
     finished.write.mode("overwrite").parquet(f"{work_path}/cells")
     cells = spark.read.parquet(f"{work_path}/cells")
     store.write_daily(filters.clip_box(cells, box, grid), daily_path)
-    store.write_archive(append.new_rows(archive_or_empty(spark, archive_path), cells), archive_path)
+    before = archive_days(spark, archive_path, cells)
+    store.write_archive(append.new_rows(before, cells), archive_path)

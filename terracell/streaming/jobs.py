@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from terracell.operators import append, lookup
+from terracell.operators import append, filters, lookup
 from terracell.functions import values
 from terracell.plans.ingest import archive_or_empty
 from terracell.schema import CELL_SCHEMA, Grid
@@ -35,11 +35,13 @@ def stream_append(
 
     def add(batch: DataFrame, _batch_id: int) -> None:
         spark = batch.sparkSession
-        # A handful of numbers: they prune the archive to the years at hand.
-        years = [r.year for r in batch.select("year").distinct().collect()]
-        if not years:
+        # The days of a batch, at most a calendar: they prune the archive to what the
+        # batch can collide with.
+        days = batch.select("date").distinct().collect()
+        if not days:
             return
-        existing = archive_or_empty(spark, archive_path).filter(F.col("year").isin(years))
+        archive = archive_or_empty(spark, archive_path)
+        existing = filters.dates_in(archive, [r.date for r in days if r.date])
         fresh = append.last_per_day(batch, append.CELL, order)
         write_archive(append.new_rows(existing, fresh, append.CELL), archive_path)
 

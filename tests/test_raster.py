@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terracell.functions import geo
-from terracell.operators import append, filters, mapview, raster, resample, scenes, styling
+from terracell.operators import aggregates, append, conform, filters, mapview, raster, resample, scenes, styling
 from terracell.schema import BBox, Grid
 from terracell.sources import archive as store
 from terracell.sources import granules, tiles
@@ -183,6 +183,38 @@ def test_last_per_day_with_many_copies(spark):
     assert [(r.ts, r.value) for r in got] == [(4998, 4998.0)]
 
 
+def test_accumulation_of_nothing_is_zero(spark):
+    df = cells(spark, [("a", "2020-01-01", 0, 0, None), ("a", "2020-01-02", 0, 0, None),
+                       ("a", "2020-01-01", 0, 1, 1.5), ("a", "2020-01-02", 0, 1, None)])
+    got = {r.col: r.total for r in aggregates.accumulate(df, ("row", "col")).collect()}
+    assert got == {0: 0.0, 1: 1.5}
+
+
+def test_small_conform_steps(spark):
+    df = spark.sql("SELECT 1D AS LAT, 359.5D AS lon, 2f AS rdp, 3f AS prmsl")
+    df = conform.rename_drop(conform.standardize_dims(df), {"rdp": "precip"}, drop=("prmsl",), keep=("lat", "lon", "precip"))
+    df = conform.add_time(df, "2020-02-29").withColumnRenamed("precip", "value")
+    grid = Grid(lat0=0.0, lon0=-1.0, dlat=0.5, dlon=0.5, n_rows=5, n_cols=5)
+    done = conform.tag_attrs(conform.conform_cells(df, grid, source="merge"), units="mm")
+    r = done.first()
+    assert (r.source, r.year, r.row, r.col, r.lon, r.value) == ("merge", 2020, 2, 1, -0.5, 2.0)
+    assert done.schema["value"].metadata == {"crs": "EPSG:4326", "units": "mm"}
+    assert conform.north_up(done, grid).first().row == 2
+    with pytest.raises(ValueError):
+        conform.pick_value(done, "wind", fuzzy=False)
+
+
+def test_lists_fold_copies_and_split_by_tile(spark):
+    copies = spark.range(3000).select(
+        F.lit(1).alias("request_id"), F.lit("2020-01-01").cast("date").alias("date"), (F.col("id") % 2).alias("tile_id"),
+        (F.col("id") % 2).cast("double").alias("latitude"), F.lit(0.0).alias("longitude"), F.lit(9.0).alias("precipitation_mm"))
+    got = aggregates.exceedances_by_date(copies).collect()
+    assert sorted((r.tile_id, len(r.points)) for r in got) == [(0, 1), (1, 1)]
+    series = copies.withColumnRenamed("precipitation_mm", "value")
+    one = aggregates.exceedance_list(series, ("request_id",)).first()
+    assert one.n_exceedances == 1 and len(one.exceedances) == 1
+
+
 def test_scan_variable(spark, tmp_path):
     path = str(tmp_path / "t")
     spark.sql("SELECT 'era5' AS source, DATE '2020-01-01' AS date, 1D AS lat, 2D AS lon, 3f AS temp_max").write.parquet(path)
