@@ -23,7 +23,7 @@ from harness.tables import (
 from terracell.functions import geo, values
 from terracell.functions.requests import json_pixel_value, request_status
 from terracell.operators import aggregates, append, filters, lookup
-from terracell.plans import areas, points
+from terracell.plans import answers, areas, points
 from terracell.sources.requests import answer_json, requests_from_json
 from terracell.schema import STUDY_AREA, TRIGGER_REQUEST, BBox
 
@@ -91,8 +91,8 @@ def area_trigger_totals(spark, sf_dir):
     cells = cube(spark, sf_dir, by_source=True, missing=True)
     requests = point_requests(spark, sf_dir)
     hits = areas.area_triggers(cells, requests, GRID)
-    answers = areas.area_answers(requests, hits)
-    return out(answers.select("request_id", "status", "total_exceedances", "total_trigger_dates"))
+    totals = areas.area_answers(requests, hits)
+    return out(totals.select("request_id", "status", "total_exceedances", "total_trigger_dates"))
 
 
 _SERIES = f"""({SQL_REQUESTS}) q JOIN ({sql_cube(by_source=True, missing=True)}) k
@@ -122,13 +122,13 @@ def point_history(spark, sf_dir):
 )
 def history_map(spark, sf_dir):
     cells = cube(spark, sf_dir, by_source=True, missing=True)
-    answers = points.point_history(cells, point_requests(spark, sf_dir), GRID)
+    histories = points.point_history(cells, point_requests(spark, sf_dir), GRID)
     values_of = F.map_values("history")
     known = F.filter(values_of, lambda v: v.isNotNull())
     total = F.aggregate(known, F.lit(0.0), lambda a, v: a + v)
     first = F.coalesce(F.array_min(F.map_keys("history")), F.lit(""))
     return out(
-        answers.select(
+        histories.select(
             "request_id",
             "status",
             F.size(values_of).alias("n_days"),
@@ -146,8 +146,8 @@ def history_map(spark, sf_dir):
 )
 def point_triggers(spark, sf_dir):
     cells = cube(spark, sf_dir, by_source=True, missing=True)
-    answers = points.point_triggers(cells, point_requests(spark, sf_dir), GRID)
-    return out(points.trigger_rows(answers, "request_id"))
+    found = points.point_triggers(cells, point_requests(spark, sf_dir), GRID)
+    return out(points.trigger_rows(found, "request_id"))
 
 
 @query(
@@ -173,10 +173,10 @@ def n_exceedances(spark, sf_dir):
         AND d BETWEEN DATE '1995-01-01' AND DATE '2001-12-31' GROUP BY s.id""",
 )
 def site_batch_triggers(spark, sf_dir):
-    answers = points.site_batch_triggers(
+    found = points.site_batch_triggers(
         cube(spark, sf_dir), sites(spark, sf_dir), GRID, "chirps", "1995-01-01", "2001-12-31", 25
     )
-    return out(answers.select("request_id", "status", "n_exceedances"))
+    return out(found.select("request_id", "status", "n_exceedances"))
 
 
 @query(
@@ -237,9 +237,9 @@ def pixel_value(spark, sf_dir):
         F.lit(1200).alias("width"),
         F.lit(1560).alias("height"),
     )
-    answers = points.pixel_value(cube(spark, sf_dir, missing=True), requests, GRID)
-    answers = answers.withColumn("value", values.missing_to_sentinel("value"))
-    return out(answers.select("request_id", "x", "y", "status", "value"))
+    found = points.pixel_value(cube(spark, sf_dir, missing=True), requests, GRID)
+    found = found.withColumn("value", values.missing_to_sentinel("value"))
+    return out(found.select("request_id", "x", "y", "status", "value"))
 
 
 @query(
@@ -376,12 +376,81 @@ def decode_requests(spark, sf_dir):
 )
 def export_answers(spark, sf_dir):
     cells = cube(spark, sf_dir, by_source=True, missing=True)
-    answers = points.point_triggers(cells, point_requests(spark, sf_dir), GRID)
-    return answers.select(
+    found = points.point_triggers(cells, point_requests(spark, sf_dir), GRID)
+    return found.select(
         "request_id", answer_json("request_id", "source", "n_exceedances").alias("answer")
     )
 
 
+@query(
+    "area_documents",
+    f"""SELECT q.id AS request_id, CAST(k.d AS VARCHAR) AS date, round_even(lat, 5) AS latitude,
+        round_even(lon, 5) AS longitude, round_even(CAST(v AS DOUBLE), 2) AS precipitation_mm,
+        count(*) OVER (PARTITION BY q.id) AS total,
+        CASE WHEN count(*) OVER (PARTITION BY q.id) > 20 THEN 'parts' ELSE 'document' END AS found_in
+        FROM ({SQL_REQUESTS}) q JOIN ({sql_cube(by_source=True, missing=True)}) k
+        ON k.source = q.source AND NOT wrong AND k.d BETWEEN d1 AND d2 AND v > trig
+        AND {sql_inside("lat", "lon", "slat", "slon", "radius")}""",
+)
+def area_documents(spark, sf_dir):
+    """Documents read back; requests with more than 20 points come from the parts."""
+    cells = cube(spark, sf_dir, by_source=True, missing=True)
+    requests = point_requests(spark, sf_dir)
+    hits = areas.area_triggers(cells, requests, GRID)
+    point = "array<struct<latitude:double,longitude:double,precipitation_mm:double>>"
+    head = f"total_exceedances bigint, in_parts boolean, exceedances_by_date map<string,{point}>"
+    documents = answers.area_documents(requests, hits, limit=20).select(
+        "request_id", F.from_json("answer", head).alias("a")
+    )
+    documents = documents.select("request_id", "a.*")
+    nested = documents.select(
+        "request_id",
+        F.col("total_exceedances").alias("total"),
+        F.explode("exceedances_by_date").alias("date", "points"),
+    )
+    parts = answers.area_parts(hits).select(
+        F.from_json("answer", f"request_id bigint, date string, points {point}").alias("a")
+    )
+    wide = documents.filter("in_parts").select(
+        "request_id", F.col("total_exceedances").alias("total")
+    )
+    parts = parts.select("a.*").join(wide, "request_id")
+    flat = lambda df, place: df.select(
+        "request_id", "date", F.inline("points"), "total"
+    ).withColumn("found_in", F.lit(place))
+    return flat(nested, "document").unionByName(flat(parts, "parts"))
+
+
+@query(
+    "history_documents",
+    f"""SELECT q.id AS request_id, CAST(k.d AS VARCHAR) AS date,
+        coalesce(round_even(CAST(v AS DOUBLE), 2), -9999) AS value FROM {_SERIES}""",
+)
+def history_documents(spark, sf_dir):
+    cells = cube(spark, sf_dir, by_source=True, missing=True)
+    histories = points.point_history(cells, point_requests(spark, sf_dir), GRID)
+    read_back = answers.history_documents(histories).select(
+        "request_id", F.from_json("answer", "history map<string,double>").alias("a")
+    )
+    rows = read_back.select("request_id", F.explode("a.history").alias("date", "value"))
+    return rows.withColumn("value", values.missing_to_sentinel("value"))
+
+
+@query(
+    "trigger_documents",
+    f"""SELECT q.id AS request_id, q.source, CAST(k.d AS VARCHAR) AS date,
+        round_even(CAST(v AS DOUBLE), 2) AS value FROM {_SERIES} WHERE v > trig""",
+)
+def trigger_documents(spark, sf_dir):
+    cells = cube(spark, sf_dir, by_source=True, missing=True)
+    triggers = points.point_triggers(cells, point_requests(spark, sf_dir), GRID)
+    shape = "source string, exceedances array<struct<date:string,value:double>>"
+    read_back = answers.trigger_documents(triggers).select(
+        "request_id", F.from_json("answer", shape).alias("a")
+    )
+    return read_back.select("request_id", "a.source", F.inline("a.exceedances"))
+
+
 @query(
     "json_pixel_value",
     """SELECT event_id, CASE WHEN event_id % 4 = 0 THEN -9999
@@ -392,11 +461,11 @@ def pixel_json(spark, sf_dir):
     feature = F.struct(F.struct(k.alias("GRAY_INDEX")).alias("properties"))
     body = F.to_json(F.struct(F.array(feature).alias("features")))
     empty = F.lit('{"features":[]}')
-    answers = read(spark, sf_dir, "events").select(
+    found = read(spark, sf_dir, "events").select(
         "event_id", F.when(F.col("event_id") % 4 == 0, empty).otherwise(body).alias("body")
     )
     value = values.missing_to_sentinel(json_pixel_value("body"))
-    return out(answers.select("event_id", value.alias("value")))
+    return out(found.select("event_id", value.alias("value")))
 
 
 @query(
