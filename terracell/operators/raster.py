@@ -46,10 +46,15 @@ def histogram(cells: DataFrame, bins: int = HISTOGRAM_BINS, keys=RASTER) -> Data
     data = cells.filter(v.isNotNull()).select(*keys, v.alias("v"))
     # Two reads of the values and no shuffle of them: both aggregations are nearly
     # complete before their shuffle.
-    limits = data.groupBy(*keys).agg(F.min("v").alias("low"), F.max("v").alias("high"))
-    if set(keys) <= set(RASTER):
-        limits = per_day_side(limits)
-    binned = data.join(limits, keys).withColumn(
+    if keys:
+        limits = data.groupBy(*keys).agg(F.min("v").alias("low"), F.max("v").alias("high"))
+        if set(keys) <= set(RASTER):
+            limits = per_day_side(limits)
+        data = data.join(limits, keys)
+    else:
+        low, high = data.agg(F.min("v")).scalar(), data.agg(F.max("v")).scalar()
+        data = data.withColumns({"low": low, "high": high})
+    binned = data.withColumn(
         "bin", _bin(F.col("v"), F.col("low"), F.col("high"), bins).cast("int")
     )
     return binned.groupBy(*keys, "low", "high", "bin").agg(F.count("*").alias("count"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from terracell.functions.geo import _col
+from terracell.functions.values import missing_if_nan
 from terracell.schema import Grid
 
 
@@ -64,7 +65,8 @@ def bilinear_resample(
 
     g = grid
     near = (
-        pixels.filter(F.col("value").isNotNull())
+        pixels.withColumn("value", missing_if_nan("value"))
+        .filter(F.col("value").isNotNull())
         .withColumn("_i", reach("lat", float(res_lat), g.lat0, g.dlat, g.n_rows))
         .withColumn("_j", reach("lon", float(res_lon), g.lon0, g.dlon, g.n_cols))
         .withColumn("_wi", weight("lat", "_i", float(res_lat), g.lat0, g.dlat))

@@ -151,7 +151,9 @@ def ingest_temperature(
     boxed = filters.select_box(
         append.restrict_dates(cells, missing.filter("missing_archive")), box
     )
-    store.write_archive(append.new_rows(archive_before, boxed), archive_path)
+    # The calendar of the gaps is small: counting it sizes the files.
+    gaps = missing.filter("missing_archive").select("date").distinct().count()
+    store.write_archive(append.new_rows(archive_before, boxed), archive_path, days=gaps)
 
     keys = ["source", "date"]
     daily = run_outcomes(wanted, daily_before, daily_days(spark, daily_path, wanted))

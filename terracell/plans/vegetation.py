@@ -86,4 +86,5 @@ def ingest_vegetation(
     cells = spark.read.parquet(f"{work_path}/cells")
     store.write_daily(filters.clip_box(cells, box, grid), daily_path)
     before = archive_days(spark, archive_path, cells)
-    store.write_archive(append.new_rows(before, cells), archive_path)
+    days = cells.select("date").distinct().count()
+    store.write_archive(append.new_rows(before, cells), archive_path, days=days)

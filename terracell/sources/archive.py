@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from terracell.schema import ARCHIVE_SCHEMA, DAILY_SCHEMA
+from terracell.schema import ARCHIVE_SCHEMA, DAILY_SCHEMA, TILE_SIZE
 
-# A file holds so many neighbouring tiles of a source and year: 40 tiles x 400 cells
-# x 366 days is 6 million rows, however many sources, years and tiles there are.
-TILES_PER_FILE = 40
+# A file holds neighbouring tiles of one partition, about so many rows of them, however
+# many sources, years and tiles there are.
+ROWS_PER_FILE = 6_000_000
+DAYS_OF_YEAR = 366
 
 
 def scan_archive(spark: SparkSession, path: str, source: str | None = None) -> DataFrame:
@@ -31,28 +32,32 @@ def scan_variable(spark: SparkSession, path: str, variable: str) -> DataFrame |
     return table.select(*axes, F.col(variable).alias("value"))
 
 
-def _clustered(cells: DataFrame, *partition: str) -> DataFrame:
+def _clustered(cells: DataFrame, days: int, *partition: str) -> DataFrame:
     """Rows of a partition spread over tasks by band of tiles, then sorted.
 
     Hashing on the band as well keeps a source or a day that holds much of the data
-    from landing in one task.
+    from landing in one task; ``days`` is how many days of a partition are written,
+    so that a band of few days is wide enough to fill a file.
     """
+    tiles = max(1, ROWS_PER_FILE // (TILE_SIZE**2 * min(max(days, 1), DAYS_OF_YEAR)))
     # The writer keeps this order only if it begins with the partition columns as they
     # are written.  A source that is NULLable or a constant is rewritten by the
     # optimizer and the writer would sort anew; one that comes out of a generator is not.
     plain = F.explode(F.array(F.coalesce("source", F.lit("unknown"))))
     cells = cells.withColumn("source", plain)
-    band = F.floor(F.col("tile_id") / F.lit(TILES_PER_FILE))
+    band = F.floor(F.col("tile_id") / F.lit(tiles))
     return cells.repartition(*[F.col(p) for p in partition], band).sortWithinPartitions(
         *partition, "tile_id", "date", "row", "col"
     )
 
 
-def write_archive(cells: DataFrame, path: str, mode: str = "append") -> None:
-    """Adds rows to the archive.  Callers drop days that are there already
-    (``operators.append.new_rows``)."""
+def write_archive(
+    cells: DataFrame, path: str, mode: str = "append", days: int = DAYS_OF_YEAR
+) -> None:
+    """Adds rows to the archive, of ``days`` days a year at most.  Callers drop days
+    that are there already (``operators.append.new_rows``)."""
     rows = cells.select(*[F.col(f.name).cast(f.dataType) for f in ARCHIVE_SCHEMA])
-    _clustered(rows, "source", "year").write.mode(mode).partitionBy("source", "year").parquet(path)
+    _clustered(rows, days, "source", "year").write.mode(mode).partitionBy("source", "year").parquet(path)
 
 
 def write_archive_table(cells: DataFrame, table: str, buckets: int, mode: str = "overwrite") -> None:
@@ -73,7 +78,7 @@ def write_daily(cells: DataFrame, path: str) -> None:
     leaves the others alone, so a repeated run is harmless."""
     rows = cells.select(*[F.col(f.name).cast(f.dataType) for f in DAILY_SCHEMA])
     (
-        _clustered(rows, "source", "date")
+        _clustered(rows, 1, "source", "date")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("source", "date")

@@ -35,15 +35,25 @@ def stream_append(
 
     def add(batch: DataFrame, _batch_id: int) -> None:
         spark = batch.sparkSession
-        # The days of a batch, at most a calendar: they prune the archive to what the
-        # batch can collide with.
-        days = batch.select("date").distinct().collect()
-        if not days:
+        # Two dates prune the archive's partitions and row groups; the days in between
+        # that the batch does not have drop out in the scan stage.
+        span = batch.agg(
+            F.min("date").alias("first"),
+            F.max("date").alias("last"),
+            F.count_distinct("date").alias("days"),
+        ).first()
+        if span["first"] is None:
             return
         archive = archive_or_empty(spark, archive_path)
-        existing = filters.dates_in(archive, [r.date for r in days if r.date])
-        fresh = append.last_per_day(batch, append.CELL, order)
-        write_archive(append.new_rows(existing, fresh, append.CELL), archive_path)
+        existing = filters.time_range(archive, span["first"], span["last"])
+        existing = append.restrict_dates(existing, batch.select("source", "date"))
+        # A cell's place follows from its key, so it groups along with it.
+        place = ("year", "tile_id", "lat", "lon")
+        fresh = batch.select(*append.CELL, *place, *order, "value")
+        fresh = append.last_per_day(fresh, (*append.CELL, *place), order)
+        write_archive(
+            append.new_rows(existing, fresh, append.CELL), archive_path, days=span["days"]
+        )
 
     return (
         cells.writeStream.foreachBatch(add)

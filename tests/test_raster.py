@@ -36,6 +36,8 @@ def test_stats_and_histogram_match_numpy(spark):
     got = {r.bin: r["count"] for r in raster.histogram(df).collect()}
     assert got == {i + 1: c for i, c in enumerate(counts) if c}
     assert sum(got.values()) == len(v)
+    whole = {r.bin: r["count"] for r in raster.histogram(df, keys=()).collect()}
+    assert whole == got
 
 
 def test_histogram_of_a_single_value(spark):
