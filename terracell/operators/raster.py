@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from terracell.operators.append import concat_time
 from terracell.operators.sides import per_day_side
 
 RASTER = ("source", "date")
@@ -98,25 +99,18 @@ def valid_pct(pixels: DataFrame, column: str = "value", keys=("scene_id",)) -> D
 def overviews(cells: DataFrame, levels: int, keys=RASTER) -> DataFrame:
     """Means over blocks of 2, 4, 8 .. cells (level 1, 2, 3 ..), missing left out.
 
-    Level 1 reads the cells once; all coarser levels are built from its sums.
+    Each level is built from the sums of the level before, a quarter of its rows; the
+    shuffle of a level serves both its own result and the next level.
     """
     keys = list(keys)
+    half = lambda c: F.shiftright(F.col(c), 1).alias(c)
     v = F.col("value").cast("double")
-    half = lambda c, k: F.shiftright(F.col(c), k)
-    first = cells.groupBy(*keys, half("row", 1).alias("row"), half("col", 1).alias("col")).agg(
-        F.sum(v).alias("_sum"), F.count("value").alias("_n")
-    )
-    level = F.explode(F.sequence(F.lit(1), F.lit(levels)))
-    every = first.withColumn("level", level)
-    shift = lambda c: F.expr(f"shiftright({c}, level - 1)").alias(c)
-    return (
-        every.groupBy(*keys, "level", shift("row"), shift("col"))
-        .agg(F.sum("_sum").alias("_sum"), F.sum("_n").alias("_n"))
-        .select(
-            *keys,
-            "level",
-            "row",
-            "col",
-            F.when(F.col("_n") > 0, F.col("_sum") / F.col("_n")).cast("float").alias("value"),
+    sums = cells.select(*keys, "row", "col", v.alias("_sum"), v.isNotNull().cast("bigint").alias("_n"))
+    mean = F.when(F.col("_n") > 0, F.col("_sum") / F.col("_n")).cast("float").alias("value")
+    built = []
+    for level in range(1, levels + 1):
+        sums = sums.groupBy(*keys, half("row"), half("col")).agg(
+            F.sum("_sum").alias("_sum"), F.sum("_n").alias("_n")
         )
-    )
+        built.append(sums.select(*keys, F.lit(level).alias("level"), "row", "col", mean))
+    return concat_time(*built)
