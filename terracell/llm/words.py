@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -88,9 +89,7 @@ def shingle_sets(texts: pa.Array, k: int = 5):
 
 def chunks(batch: pa.RecordBatch, text: str = "text", most: int = 8 << 20):
     """Slices of a batch with about ``most`` bytes of text each; one text is never cut."""
-    sizes = np.frombuffer(
-        pa.compute.binary_length(batch.column(text)).fill_null(0).cast(pa.int64()).buffers()[1], dtype=np.int64
-    )[: batch.num_rows]
+    sizes = pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     group = (np.cumsum(sizes) - sizes) // most
     cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts[:-1], cuts[1:]):
