@@ -127,13 +127,15 @@ def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str]], default: str
 
 
 def _ship(spark: SparkSession, blob: bytes, name: str) -> None:
-    """Writes the file through Spark's file system and has every executor fetch it."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_path(spark, 'index')}/{name}")
-    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+    """Writes the file through Spark's file system and has every executor fetch it, once a session."""
+    if any(name in path for path in spark.sparkContext.listFiles):
+        return
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_path(spark, 'index')}/{name}")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = files.create(path, True)
     out.write(bytearray(blob))
     out.close()
-    spark.sparkContext.addFile(path.makeQualified(path.getFileSystem(spark._jsc.hadoopConfiguration()).getUri(), path).toString())
+    spark.sparkContext.addFile(files.makeQualified(path).toString())
 
 
 _open: dict[str, Index] = {}
