@@ -32,7 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _kept(edges: DataFrame):
     edges = checkpointed(edges)
-    row = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(hi, lo))"), F.sum("lo")).first()
+    row = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(hi, lo))"), F.expr("bit_xor(xxhash64(lo, hi))")).first()
     return edges, tuple(row)
 
 
