@@ -86,8 +86,19 @@ def allocation(k: int) -> tuple[int, int]:
     return best[1], best[2]
 
 
-def index_keys(shingles: np.ndarray) -> np.ndarray:
-    """Keys of the index rows of one set of shingle hashes."""
+def _sums(place: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+    """Sums of 64-bit numbers by place, modulo 2**64; halves of 32 bits add up exactly as floats."""
+    low = np.bincount(place, (value & np.uint64(0xFFFFFFFF)).astype(np.float64), n).astype(np.uint64)
+    high = np.bincount(place, (value >> np.uint64(32)).astype(np.float64), n).astype(np.uint64)
+    return low + (high << np.uint64(32))
+
+
+def index_keys(shingles: np.ndarray) -> list[tuple[bool, int, np.ndarray]]:
+    """(lower, least, keys) of one set for its own band and, where it reaches there, the one below.
+
+    ``least`` is the number of its keys that a similar set of the band shares at least: of
+    its full segments, so many as can differ are taken off.
+    """
     size = len(shingles)
     own = band_of(size)
     out = []
@@ -97,23 +108,25 @@ def index_keys(shingles: np.ndarray) -> np.ndarray:
             continue
         apart = most_apart(size, band(k)[1]) if k < own else most_apart(size, largest_partner(size))
         segments, left_out = allocation(k)
-        seed = 0
+        keys, seed = [], 0
         while True:
             salt = mix(np.array([k << 32 | seed], np.uint64))[0]
-            place = (mix(shingles + salt) % np.uint64(segments)).astype(np.int64)
+            place = (mix(value ^ salt) >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)
+            place = place.astype(np.int64)
             counts = np.bincount(place, minlength=segments)
-            sums = np.zeros(segments, np.uint64)
-            np.add.at(sums, place, value)
+            sums = _sums(place, value, segments)
             full = np.flatnonzero(counts)
             names = mix(np.arange(segments, dtype=np.uint64) + salt)
-            out.append(mix(sums[full] ^ names[full]))
+            keys.append(mix(sums[full] ^ names[full]))
             if left_out:
                 some = np.flatnonzero((place < left_out) & (counts[place] > 1))
-                out.append(mix((sums[place[some]] - value[some]) ^ names[place[some]]))
+                keys.append(mix((sums[place[some]] - value[some]) ^ names[place[some]]))
             if len(full) + int((counts[:left_out] > 1).sum()) > apart:
                 break
             seed += 1
-    return np.unique(np.concatenate(out))
+        least = len(full) - apart if not left_out and not seed else 1
+        out.append((k < own, max(least, 1), np.concatenate(keys)))
+    return out
 
 
 def _node(shingles: np.ndarray) -> int:
@@ -151,64 +164,94 @@ def _once(batches):
 
 
 def index_rows(docs: DataFrame) -> DataFrame:
-    """(key, node, size): the index; copies within a task are folded before the shuffle."""
+    """(key, node, info): the index; copies within a task are folded before the shuffle.
+
+    ``info`` has the set's size, whether the band is the lower one, and the least number of
+    keys shared with a similar set, in 31, 1 and 31 bits.
+    """
 
     def run(batches):
-        keys, nodes, sizes, n = [], [], [], 0
+        keys, nodes, infos, n = [], [], [], 0
+
         def flushed():
             counts = [len(k) for k in keys]
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate(keys).view(np.int64)),
                     pa.array(np.repeat(np.array(nodes, np.int64), counts)),
-                    pa.array(np.repeat(np.array(sizes, np.int32), counts)),
+                    pa.array(np.repeat(np.array(infos, np.int64), counts)),
                 ],
-                ["key", "node", "size"],
+                ["key", "node", "info"],
             )
 
         for node, own in _once(batches):
-            keys.append(index_keys(own))
-            nodes.append(node)
-            sizes.append(len(own))
-            n += len(keys[-1])
+            for lower, least, found in index_keys(own):
+                keys.append(found)
+                nodes.append(node)
+                infos.append(len(own) << 32 | lower << 31 | least)
+                n += len(found)
             if n > 200_000:
                 yield flushed()
-                keys, nodes, sizes, n = [], [], [], 0
+                keys, nodes, infos, n = [], [], [], 0
         if n:
             yield flushed()
 
-    return columns(docs, text="string").mapInArrow(run, "key long, node long, size int")
+    return columns(docs, text="string").mapInArrow(run, "key long, node long, info long")
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    """(node, text) of the rows with a set, without copies within a task."""
+def shared_rows(index: DataFrame) -> DataFrame:
+    """(key, node, size, hub) of the index rows whose key several sets have.
 
-    def run(batches):
-        for batch in batches:
-            for part in chunks(batch):
-                seen: set[int] = set()
-                nodes, keep = [], []
-                for i, own in enumerate(shingle_sets(part.column("text"), WORDS)):
-                    if len(own) and (node := _node(own)) not in seen:
-                        seen.add(node)
-                        nodes.append(node)
-                        keep.append(i)
-                texts = part.column("text").take(pa.array(keep, pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), texts], ["node", "text"])
+    A set that shares fewer keys than it must with any similar set has none: its rows go,
+    in two rounds, as groups shrink by what the round before took out.
+    """
+    of = Window.partitionBy("key")
+
+    def kept(rows: DataFrame) -> DataFrame:
+        ends = {"low": F.min("node").over(of), "high": F.max("node").over(of)}
+        return rows.withColumns(ends).where("low != high").select("key", "node", "info")
 
-    return columns(docs, text="string").mapInArrow(run, "node long, text string")
+    rows = written(kept(index), "shared-keys")
+    for _ in range(2):
+        enough = (
+            rows.groupBy("node", "info")
+            .agg(F.count("*").alias("n"))
+            .where(F.col("n") >= F.col("info").bitwiseAND((1 << 31) - 1))
+            .select("node", "info")
+        )
+        rows = written(kept(rows.join(enough, ["node", "info"])), "shared-keys")
+    sized = rows.select("key", "node", F.shiftright("info", 32).alias("size"))
+    return sized.withColumn("hub", F.min(F.struct("size", "node")).over(of))
 
 
 def _shingled(texts: DataFrame) -> DataFrame:
-    """(node, shingles) with the sorted hashes as bytes."""
+    """(node, shingles) with the sorted hashes as bytes, of the texts whose set has the name asked for."""
 
     def run(batches):
         for batch in batches:
             for part in chunks(batch):
-                sets = [s.tobytes() for s in shingle_sets(part.column("text"), WORDS)]
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
+                found = list(shingle_sets(part.column("text"), WORDS))
+                asked = part.column("node").to_pylist()
+                keep = [i for i, s in enumerate(found) if len(s) and (asked[i] is None or _node(s) == asked[i])]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([_node(found[i]) for i in keep], pa.int64()),
+                        pa.array([found[i].tobytes() for i in keep], pa.binary()),
+                    ],
+                    ["node", "shingles"],
+                )
 
-    return texts.mapInArrow(run, "node long, shingles binary")
+    return texts.select("node", "text").mapInArrow(run, "node long, shingles binary")
+
+
+def needed_sets(docs: DataFrame, named: DataFrame, needed: DataFrame) -> DataFrame:
+    """(node, shingles) of the nodes in ``needed``, each once."""
+    texts = columns(docs, doc_id="long", text="string")
+    first = named.where("doc_id IS NOT NULL").join(needed, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    with_id = texts.join(first, "doc_id").select("node", "text")
+    # Rows without an id can't be asked for by it.
+    without = texts.where("doc_id IS NULL").select(F.lit(None).cast("long").alias("node"), "text")
+    return _shingled(with_id.union(without)).join(needed, "node", "left_semi").dropDuplicates(["node"])
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -312,18 +355,8 @@ def join_documents(docs: DataFrame) -> DataFrame:
     an empty table gives no rows.
     """
     named = written(shingle_counts(docs), "shingle-counts")
-    of = Window.partitionBy("key")
-    index = index_rows(docs).withColumns(
-        {
-            "hub": F.min(F.struct("size", "node")).over(of),
-            "low": F.min("node").over(of),
-            "high": F.max("node").over(of),
-        }
-    )
-    shared = written(index.where("low != high").select("key", "node", "size", "hub"), "shared-keys")
-    needed = shared.select("node").distinct()
-    texts = _sets(docs).join(needed, "node").dropDuplicates(["node"])
-    sets = written(_shingled(texts), "shingle-sets")
+    shared = written(shared_rows(index_rows(docs)), "shared-keys")
+    sets = written(needed_sets(docs, named, shared.select("node").distinct()), "shingle-sets")
     pairs = (
         shared.where(similar(F.col("hub.size"), F.col("hub.size"), F.col("size")) & (F.col("hub.node") != F.col("node")))
         .select(F.col("hub.node").alias("hub"), F.col("node").alias("member"))

@@ -87,7 +87,7 @@ def shingle_sets(texts: pa.Array, k: int = 5):
         yield np.unique(shingle_hashes(words[a:b], k))
 
 
-def chunks(batch: pa.RecordBatch, text: str = "text", most: int = 8 << 20):
+def chunks(batch: pa.RecordBatch, text: str = "text", most: int = 1 << 20):
     """Slices of a batch with about ``most`` bytes of text each; one text is never cut."""
     sizes = pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     group = (np.cumsum(sizes) - sizes) // most
