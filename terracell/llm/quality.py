@@ -218,6 +218,23 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scored(stats, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are predicted good; fitted as in ``classify``.
+
+    Texts are scored where they stand, so none is shuffled.  Nulls and repeated rows are
+    treated as there; all columns pass unchanged.
+    """
+    model = fit(labelled_rows(written(document_statistics(docs), "statistics"), labels))
+
+    def run(batches):
+        for batch in batches:
+            for part in chunks(batch):
+                x = np.array([statistics(t or "") for t in part.column("text").to_pylist()])
+                yield part.filter(pa.array(model.scores(x) >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 @query("op2_quality")
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))

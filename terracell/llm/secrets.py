@@ -111,12 +111,12 @@ def _tested(candidates: str) -> str:
 
 
 def _spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, base, tested) of every row."""
-    texts = columns(docs, doc_id="long", text="string").withColumn("t", F.coalesce("text", F.lit("")))
+    """(row, t, base, tested) of every row: the row itself, its text, and what was found there."""
+    texts = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
     long_enough = f"char_length(regexp_extract(x.said, '{ASSIGN.replace(chr(92), chr(92) * 2).replace(chr(39), chr(92) + chr(39))}', 1)) >= 8"
     return (
         texts.select(
-            "doc_id",
+            "row",
             "t",
             F.expr(_found("t", ASSIGN, 0, long_enough)).alias("assign"),
             F.expr(_found("t", ACCESS, 1)).alias("access"),
@@ -124,12 +124,12 @@ def _spans(docs: DataFrame) -> DataFrame:
             F.expr(_found("t", CANDIDATE, 3)).alias("candidates"),
         )
         .select(
-            "doc_id",
+            "row",
             "t",
             F.expr("array_sort(concat(assign, access, hex))").alias("base"),
             F.expr("CASE WHEN size(candidates) > 0 THEN " + _tested("candidates") + " END").alias("tested"),
         )
-        .select("doc_id", "t", "base", F.expr("coalesce(tested, array())").alias("tested"))
+        .select("row", "t", "base", F.expr("coalesce(tested, array())").alias("tested"))
     )
 
 
@@ -154,12 +154,12 @@ def thresholds(tested: DataFrame, rate: float = RATE) -> DataFrame:
 
 
 def secret_spans(docs: DataFrame, rate: float = RATE) -> DataFrame:
-    """(doc_id, text, base, every): spans (start, kind, end) by start and kind, in code points.
+    """(row, text, base, every): each row as a struct, its text, and spans (start, kind, end) by start and kind, in code points.
 
     ``base`` has the patterns' spans; ``every`` also the strings that pass as random and
     overlap none of them.  A null text is returned as empty, with no spans; repeated rows
-    get a row each; a null doc_id stays null; other columns are ignored; an empty table
-    gives no rows.
+    get a row each; all columns, null ids too, are kept in ``row``; an empty table gives no
+    rows.
     """
     rows = _spans(docs)
     lowest = thresholds(rows.select("tested"), rate).scalar()
@@ -167,14 +167,14 @@ def secret_spans(docs: DataFrame, rate: float = RATE) -> DataFrame:
     return (
         rows.withColumn("lowest", lowest)
         .select(
-            "doc_id",
+            "row",
             F.col("t").alias("text"),
             F.expr(plain.format("base")).alias("base"),
             F.expr("""transform(filter(tested, x -> x.bin >= coalesce(lowest[x.stratum], 1000000)
                       AND NOT exists(base, b -> b.start < x.end AND x.start < b.end)),
                       x -> named_struct('start', x.start, 'kind', 3, 'end', x.end))""").alias("added"),
         )
-        .select("doc_id", "text", "base", F.expr("array_sort(concat(base, added))").alias("every"))
+        .select("row", "text", "base", F.expr("array_sort(concat(base, added))").alias("every"))
     )
 
 
@@ -196,10 +196,10 @@ def redacted(text: str = "text", spans: str = "every", mask: str = "[secret]") -
 
 @query("op1_secrets")
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secret_spans(read(spark, sf_dir, "documents"))
+    found = secret_spans(columns(read(spark, sf_dir, "documents"), doc_id="long", text="string"))
     count = [F.expr(f"CAST(size(filter(base, x -> x.kind = {k})) AS bigint)").alias(f"n_{KINDS[k]}") for k in range(3)]
     return found.select(
-        "doc_id",
+        "row.doc_id",
         *count,
         F.sha2(said("base").cast("binary"), 256).alias("base_sha256"),
         said("every").alias("spans"),
