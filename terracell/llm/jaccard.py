@@ -10,8 +10,8 @@ again under further partitions, until one has enough of them.  Of two similar se
 that stops first has enough segments in a partition that both have, so no pair is lost.
 
 What shares an index row is verified exactly: first against the smallest set of the row,
-which settles groups of copies in one pass, then, where sets of a row are still apart, in
-tiles of bounded size.
+which settles groups of copies in one pass, then, where sets that shared rows connect are
+still apart, in tiles of bounded size.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ WORDS = 5
 PERCENT = 80
 BAND_RATIO = 1.6
 LEAST_SEGMENT, SPARE = 2.0, 1.12
-STAR, TILE = 512, 256
+STAR, TILE = 512, 512
 MAX_SEEN = 500_000
 
 _ONE = np.uint64(0x9E3779B97F4A7C15)
@@ -315,32 +315,32 @@ def _tile(table: pa.Table) -> pa.Table:
 
 
 def _unsettled(shared: DataFrame, joined: DataFrame) -> DataFrame:
-    """(key, node, component, n) of the groups that still hold several components; of equal groups one."""
-    labelled = shared.select("key", "node").distinct().join(joined, "node", "left").select(
-        "key", "node", F.coalesce("component", "node").alias("component")
+    """(family, node, component, n) of the families that still hold several components.
+
+    A family is what shared keys connect, so every pair that could be similar lies in one.
+    """
+    families = components(shared.select(F.col("hub.node").alias("a"), F.col("node").alias("b")))
+    labelled = checkpointed(
+        families.withColumnRenamed("component", "family")
+        .join(joined, "node", "left")
+        .select("family", "node", F.coalesce("component", "node").alias("component"))
     )
-    name = F.xxhash64("node")
-    groups = labelled.groupBy("key").agg(
-        F.count("*").alias("n"),
-        F.min("component").alias("low"),
-        F.max("component").alias("high"),
-        F.expr("bit_xor(xxhash64(node))").alias("x"),
-        F.sum(F.shiftright(name, 20)).alias("y"),
+    open_ = labelled.groupBy("family").agg(
+        F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")
     )
-    open_ = groups.where("low != high AND n > 2").groupBy("n", "x", "y").agg(F.min("key").alias("key"))
-    return labelled.join(open_.select("key", "n"), "key")
+    return labelled.join(open_.where("low != high AND n > 2").select("family", "n"), "family")
 
 
 def verified_tiles(groups: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links among the sets of each group (key, node, component, n), in tiles of at most two blocks."""
+    """Links among the sets of each family (family, node, component, n), in tiles of two blocks at most."""
     dealt = groups.select(
-        "key", "node", "component", F.ceil(F.col("n") / TILE).cast("int").alias("blocks")
-    ).withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
+        "family", "node", "component", F.ceil(F.col("n") / TILE).cast("int").alias("blocks")
+    ).withColumn("own", F.pmod(F.xxhash64("node", "family"), F.col("blocks")).cast("int"))
     tiles = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+        "family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
         (F.col("own") <= F.col("other")).alias("first"), "node", "component",
     )
-    return tiles.join(sets, "node").groupBy("key", "i", "j").applyInArrow(lambda t: _tile(t), "a long, b long")
+    return tiles.join(sets, "node").groupBy("family", "i", "j").applyInArrow(lambda t: _tile(t), "a long, b long")
 
 
 def join_documents(docs: DataFrame) -> DataFrame:
