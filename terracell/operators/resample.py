@@ -9,13 +9,13 @@ from terracell.functions.values import missing_if_nan
 from terracell.schema import Grid
 
 
-def axis_size(low, high, resolution: float, max_pixels: int) -> Column:
-    """Number of grid lines: whole steps in the range, capped."""
+def axis_size(low, high, resolution: float, max_pixels: int | None = None) -> Column:
+    """Number of grid lines: whole steps in the range, at most ``max_pixels`` where asked."""
     steps = ((_col(high) - _col(low)) / F.lit(resolution)).cast("int")
-    return F.least(steps, F.lit(max_pixels))
+    return steps if max_pixels is None else F.least(steps, F.lit(max_pixels))
 
 
-def grid_axes(areas: DataFrame, resolution: float, max_pixels: int, box: str = "area") -> DataFrame:
+def grid_axes(areas: DataFrame, resolution: float, max_pixels: int | None = None, box: str = "area") -> DataFrame:
     """Coordinates of both axes of each area's grid: ``axis``, ``idx``, ``coord``.
 
     Ends are included and steps are even; rows run from north to south.  An area

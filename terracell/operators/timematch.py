@@ -60,4 +60,4 @@ def _nearest(requests: DataFrame, days: DataFrame) -> DataFrame:
         )
         .select("source", "date", "matched_date")
     )
-    return requests.join(per_day_side(near), ["source", "date"], "left")
+    return requests.join(near, ["source", "date"], "left")

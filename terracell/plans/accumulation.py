@@ -8,8 +8,15 @@ from terracell.functions import geo, palette
 from terracell.operators import aggregates, filters
 
 
-def event_accumulation(cells: DataFrame, days, bounds=None, colors=None) -> DataFrame:
-    """Sum of each cell over a list of days (gaps allowed), its class and colour."""
+def event_accumulation(
+    cells: DataFrame, days, bounds=None, colors=None, source: str | None = None
+) -> DataFrame:
+    """Sum of each cell over a list of days (gaps allowed), its class and colour.
+
+    ``source`` picks one; a cube of several must name it, or their values add up.
+    """
+    if source is not None:
+        cells = cells.filter(F.col("source") == source)
     bounds = [0.0] + [float(b) for b in (bounds or palette.DEFAULT_BOUNDS.split(","))]
     colors = [palette.TRANSPARENT, *(colors or palette.DEFAULT_COLORS.split(","))]
     picked = filters.dates_in(cells, days).withColumn("lon", geo.normalize_lon("lon"))

@@ -170,9 +170,9 @@ def build_year_archive(
     raw: DataFrame, grid: Grid, box: BBox, path: str, rename=None, drop=("prmsl",)
 ) -> None:
     """Raw cells of any years to the archive: names unified, all-missing days dropped,
-    cropped to the box."""
+    cropped to the box.  A second run replaces the years it brings."""
     shaped = conform.rename_drop(conform.standardize_dims(raw), rename or {}, drop)
     if "value" not in shaped.columns:
         shaped = shaped.withColumnRenamed("precip", "value")
     cells = filters.drop_empty_days(conform.conform_cells(shaped, grid))
-    store.write_archive(filters.select_box(cells, box), path)
+    store.write_archive(filters.select_box(cells, box), path, mode="overwrite")

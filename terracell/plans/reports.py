@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from terracell.operators import raster
+from terracell.operators import filters, raster
 
 
 def raster_report(cells: DataFrame, bins: int = raster.HISTOGRAM_BINS) -> DataFrame:
@@ -17,8 +17,9 @@ def raster_report(cells: DataFrame, bins: int = raster.HISTOGRAM_BINS) -> DataFr
 
 
 def raster_compare(cells: DataFrame, first, second, source: str | None = None) -> DataFrame:
-    """Difference statistics of two days of a source."""
+    """Difference statistics of two days, cell by cell of the same source."""
     if source is not None:
         cells = cells.filter(F.col("source") == source)
-    day = lambda d: cells.filter(F.col("date") == F.lit(d).cast("date"))
-    return raster.raster_diff_stats(raster.raster_align(day(first), day(second)))
+    day = lambda d: filters.time_range(cells, d, d)
+    aligned = raster.raster_align(day(first), day(second), on=("source", "row", "col"))
+    return raster.raster_diff_stats(aligned)

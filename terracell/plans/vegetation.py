@@ -8,7 +8,6 @@ from terracell.functions import geo, values
 from terracell.operators import append, calendar, conform, filters, resample, scenes
 from terracell.schema import (
     MAX_CLOUD,
-    MAX_SCENES,
     NDVI_BATCH_DAYS,
     VEGETATION_SOURCES,
     BBox,
@@ -24,15 +23,17 @@ def scenes_of_batches(
     box: BBox,
     batch_days: int = NDVI_BATCH_DAYS,
     cloud_below: float | None = MAX_CLOUD,
-    max_scenes: int | None = MAX_SCENES,
+    max_scenes: int | None = None,
 ) -> DataFrame:
     """Scenes for the batches of the wanted days: over the box, clear enough, and of
-    each batch the newest ``max_scenes``."""
-    batches = calendar.with_batch(days, batch_days)
+    each batch all, or the newest ``max_scenes`` where asked.  A catalog with a
+    ``source`` serves only that source's days."""
+    keys = ["source", "date"] if "source" in catalog.columns else ["date"]
+    batches = calendar.with_batch(days, batch_days).select("date", "source", "batch_start").distinct()
     found = catalog.withColumn("date", F.col("ts").cast("date")).filter(scenes.overlaps(box))
     if cloud_below is not None:
         found = filters.max_cloud(found, cloud_below)
-    found = found.join(F.broadcast(batches.select("date", "source", "batch_start")), "date")
+    found = found.join(batches, keys)
     if max_scenes is not None:
         found = scenes.top_scenes(found, max_scenes, ("source", "batch_start"))
     return found

@@ -24,8 +24,8 @@ CRS = "EPSG:4326"
 NO_VALUE = -9999.0
 VIEW_WIDTH = 12001
 VIEW_HEIGHT = 1560
-SENTINEL2_RESOLUTION, SENTINEL2_MAX_PIXELS = 0.0001, 50000
-MODIS_RESOLUTION, MODIS_MAX_PIXELS = 0.0025, 20000
+SENTINEL2_RESOLUTION = 0.0001
+MODIS_RESOLUTION = 0.0025
 MAX_SCENES = 50
 MAX_CLOUD = 15.0
 ERA5_BATCH_DAYS = 31

@@ -55,9 +55,11 @@ def write_archive(
     cells: DataFrame, path: str, mode: str = "append", days: int = DAYS_OF_YEAR
 ) -> None:
     """Adds rows to the archive, of ``days`` days a year at most.  Callers drop days
-    that are there already (``operators.append.new_rows``)."""
+    that are there already (``operators.append.new_rows``); with mode ``overwrite`` the
+    rows replace the years of the sources that they name, and leave the others."""
     rows = cells.select(*[F.col(f.name).cast(f.dataType) for f in ARCHIVE_SCHEMA])
-    _clustered(rows, days, "source", "year").write.mode(mode).partitionBy("source", "year").parquet(path)
+    writer = _clustered(rows, days, "source", "year").write.mode(mode).option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("source", "year").parquet(path)
 
 
 def write_archive_table(cells: DataFrame, table: str, buckets: int, mode: str = "overwrite") -> None:

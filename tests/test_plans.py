@@ -77,3 +77,24 @@ def test_scan_of_days_broadcasts_days_not_cells(archive, plan_of):
 def test_aggregates_start_before_the_shuffle(archive, plan_of):
     for df in (raster.raster_stats(archive), aggregates.accumulate(archive), raster.overviews(archive, 3)):
         assert "partial_" in plan_of(df)
+
+
+def test_raster_compare_keeps_sources_apart(spark):
+    from terracell.plans import reports
+
+    rows = [(s, d, 0, 0, v) for s, v in (("a", 1.0), ("b", 100.0)) for d in ("2001-01-01", "2001-01-02")]
+    cells = spark.createDataFrame(rows, "source string, date string, row int, col int, value float").selectExpr(
+        "source", "cast(date as date) date", "2001 year", "row", "col", "value"
+    )
+    got = reports.raster_compare(cells, "2001-01-01", "2001-01-02").first().asDict()
+    assert got["max_abs"] == 0
+
+
+def test_accumulation_of_one_source(spark):
+    from terracell.plans import accumulation
+
+    rows = [(s, "2001-01-01", 0, 0, -35.0, -75.0, v) for s, v in (("a", 1.0), ("b", 100.0))]
+    cells = spark.createDataFrame(
+        rows, "source string, date string, row int, col int, lat double, lon double, value float"
+    ).selectExpr("source", "cast(date as date) date", "2001 year", "row", "col", "lat", "lon", "value")
+    assert [r.total for r in accumulation.event_accumulation(cells, ["2001-01-01"], source="a").collect()] == [1.0]
