@@ -386,39 +386,24 @@ def export_answers(spark, sf_dir):
     "area_documents",
     f"""SELECT q.id AS request_id, CAST(k.d AS VARCHAR) AS date, round_even(lat, 5) AS latitude,
         round_even(lon, 5) AS longitude, round_even(CAST(v AS DOUBLE), 2) AS precipitation_mm,
-        count(*) OVER (PARTITION BY q.id) AS total,
-        CASE WHEN count(*) OVER (PARTITION BY q.id) > 20 THEN 'parts' ELSE 'document' END AS found_in
+        count(*) OVER (PARTITION BY q.id) AS total
         FROM ({SQL_REQUESTS}) q JOIN ({sql_cube(by_source=True, missing=True)}) k
         ON k.source = q.source AND NOT wrong AND k.d BETWEEN d1 AND d2 AND v > trig
         AND {sql_inside("lat", "lon", "slat", "slon", "radius")}""",
 )
 def area_documents(spark, sf_dir):
-    """Documents read back; requests with more than 20 points come from the parts."""
+    """Documents read back: the totals of the requests with the points of their parts."""
     cells = cube(spark, sf_dir, by_source=True, missing=True)
     requests = point_requests(spark, sf_dir)
     hits = areas.area_triggers(cells, requests, GRID)
+    total = F.from_json("answer", "total_exceedances bigint")["total_exceedances"]
+    totals = answers.area_documents(requests, hits).select("request_id", total.alias("total"))
     point = "array<struct<latitude:double,longitude:double,precipitation_mm:double>>"
-    head = f"total_exceedances bigint, in_parts boolean, exceedances_by_date map<string,{point}>"
-    documents = answers.area_documents(requests, hits, limit=20).select(
-        "request_id", F.from_json("answer", head).alias("a")
-    )
-    documents = documents.select("request_id", "a.*")
-    nested = documents.select(
-        "request_id",
-        F.col("total_exceedances").alias("total"),
-        F.explode("exceedances_by_date").alias("date", "points"),
-    )
     parts = answers.area_parts(hits).select(
         F.from_json("answer", f"request_id bigint, date string, points {point}").alias("a")
     )
-    wide = documents.filter("in_parts").select(
-        "request_id", F.col("total_exceedances").alias("total")
-    )
-    parts = parts.select("a.*").join(wide, "request_id")
-    flat = lambda df, place: df.select(
-        "request_id", "date", F.inline("points"), "total"
-    ).withColumn("found_in", F.lit(place))
-    return flat(nested, "document").unionByName(flat(parts, "parts"))
+    found = parts.select("a.request_id", "a.date", F.inline("a.points"))
+    return found.join(totals, "request_id")
 
 
 @query(

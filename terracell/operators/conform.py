@@ -45,9 +45,13 @@ def add_time(df: DataFrame, day) -> DataFrame:
     return df.withColumn("date", as_date(day))
 
 
-def conform_cells(df: DataFrame, grid: Grid, source=None) -> DataFrame:
+def conform_cells(df: DataFrame, grid: Grid, source=None, keep=()) -> DataFrame:
     """``lat, lon, value`` and ``date`` or ``time`` to cells: 32-bit value without
-    NaN, longitudes in -180..180, row and column on the grid, tile and year."""
+    NaN, row and column on the grid, tile and year, and other columns to ``keep``.
+
+    Latitude and longitude become those of the cell, so a cell has one place however
+    its input was written.  Rows off the grid, or without a place, drop out.
+    """
     if "date" not in df.columns:
         df = df.withColumn("date", F.col("time").cast("date"))
     if source is not None:
@@ -59,8 +63,12 @@ def conform_cells(df: DataFrame, grid: Grid, source=None) -> DataFrame:
         }
     )
     df = df.withColumns({"row": geo.row_of("lat", grid), "col": geo.col_of("lon", grid)})
-    return with_keys(df, grid).select(
-        "source", "year", "tile_id", "date", "row", "col", "lat", "lon", "value"
+    inside = F.col("row").between(0, grid.n_rows - 1) & F.col("col").between(0, grid.n_cols - 1)
+    placed = df.filter(inside).withColumns(
+        {"lat": geo.lat_of("row", grid), "lon": geo.lon_of("col", grid)}
+    )
+    return with_keys(placed, grid).select(
+        "source", "year", "tile_id", "date", "row", "col", "lat", "lon", "value", *keep
     )
 
 

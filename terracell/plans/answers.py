@@ -8,9 +8,6 @@ from terracell.operators import aggregates
 from terracell.plans.areas import area_answers
 from terracell.sources.requests import answer_json
 
-# Points a nested document may hold.  Beyond it a request's points come as parts.
-POINTS_PER_DOCUMENT = 100_000
-
 
 def history_documents(histories: DataFrame) -> DataFrame:
     """``plans.points.point_history`` as documents."""
@@ -26,50 +23,18 @@ def trigger_documents(triggers: DataFrame) -> DataFrame:
     return triggers.select("request_id", body.alias("answer"))
 
 
-def area_documents(
-    requests: DataFrame, points: DataFrame, limit: int = POINTS_PER_DOCUMENT, **check
-) -> DataFrame:
-    """Area requests as documents with their points by date.
+def area_documents(requests: DataFrame, points: DataFrame, **check) -> DataFrame:
+    """Area requests as documents with their totals; ``area_parts`` has their points.
 
-    Points are counted first.  A request with more than ``limit`` of them has
-    ``exceedances_by_date`` null and ``in_parts`` true, and ``area_parts`` has its
-    points; so no document is built from an unbounded group.  ``points`` is read twice:
-    give a written table where finding them is costly.
+    The shape is the same whatever a request finds, and no document is built from an
+    unbounded group.  ``points`` is read by both: give a written table where finding
+    them is costly.
     """
-    answers = area_answers(requests, points, **check)
-    fits = F.col("total_exceedances") <= F.lit(limit)
-    small = answers.filter(fits & (F.col("total_exceedances") > 0)).select("request_id")
-    entry = F.struct("latitude", "longitude", "precipitation_mm")
-    by_date = (
-        points.join(small, "request_id", "left_semi")
-        .groupBy("request_id", "date")
-        .agg(F.array_sort(F.collect_list(entry)).alias("points"))
-        .groupBy("request_id")
-        .agg(
-            F.map_from_entries(
-                F.array_sort(F.collect_list(F.struct(F.col("date").cast("string"), "points")))
-            ).alias("by_date")
-        )
-    )
     place = F.struct("lat", "lon", F.col("radius").alias("radius_km")).alias("location")
-    empty = F.from_json(
-        F.lit("{}"),
-        "map<string,array<struct<latitude:double,longitude:double,precipitation_mm:double>>>",
-    )
-    lists = F.when(fits, F.coalesce("by_date", empty)).alias("exceedances_by_date")
-    body = answer_json(
-        place,
-        "source",
-        F.col("trigger").alias("trigger_mm"),
-        "start_date",
-        "end_date",
-        "status",
-        "total_exceedances",
-        "total_trigger_dates",
-        (~fits).alias("in_parts"),
-        lists,
-    )
-    return answers.join(by_date, "request_id", "left").select("request_id", body.alias("answer"))
+    trigger = F.col("trigger").alias("trigger_mm")
+    fields = ("start_date", "end_date", "status", "total_exceedances", "total_trigger_dates")
+    body = answer_json(place, "source", trigger, *fields)
+    return area_answers(requests, points, **check).select("request_id", body.alias("answer"))
 
 
 def area_parts(points: DataFrame) -> DataFrame:

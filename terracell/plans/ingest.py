@@ -75,6 +75,17 @@ def _freeze(days: DataFrame, path: str) -> DataFrame:
     return days.sparkSession.read.parquet(path)
 
 
+def _times(raw: DataFrame) -> tuple[str, ...]:
+    """The column that orders several rasters of a day, where there is one."""
+    return ("time",) if "time" in raw.columns else ()
+
+
+def _one_per_day(cells: DataFrame, order) -> DataFrame:
+    """One row for each source, day and cell: the last by time, else the largest value."""
+    keys = [c for c in cells.columns if c != "value" and c not in order]
+    return append.last_per_day(cells, keys, order).drop(*order)
+
+
 def ingest_precipitation(
     raw: DataFrame,
     windows: DataFrame,
@@ -98,8 +109,9 @@ def ingest_precipitation(
     shaped = conform.standardize_dims(raw)
     if "value" not in shaped.columns:
         shaped = conform.pick_value(shaped, aliases[0], aliases[1:], fuzzy=False)
-    cells = append.restrict_dates(conform.conform_cells(shaped, grid), todo)
-    cells = filters.clip_box(cells, box, grid)
+    order = _times(shaped)
+    cells = append.restrict_dates(conform.conform_cells(shaped, grid, keep=order), todo)
+    cells = _one_per_day(filters.clip_box(cells, box, grid), order)
     valid = raster.validate_granules(cells.withColumn("crs", F.lit(CRS))).filter("status = 'ok'")
     store.write_daily(append.restrict_dates(cells, valid), daily_path)
     after = daily_days(spark, daily_path, wanted)
@@ -140,17 +152,13 @@ def ingest_temperature(
     column = names.resolve_variable(shaped.columns, variable, TEMPERATURE_NAMES)
     label = F.concat(F.lit(variable), F.lit(" "), F.lit(column))
     shaped = shaped.withColumn("value", values.kelvin_to_celsius(column, label))
-    cells = conform.conform_cells(shaped, grid)
+    order = _times(shaped)
+    cells = conform.conform_cells(shaped, grid, keep=order)
 
-    store.write_daily(
-        filters.clip_box(
-            append.restrict_dates(cells, missing.filter("missing_granule")), box, grid
-        ),
-        daily_path,
-    )
-    boxed = filters.select_box(
-        append.restrict_dates(cells, missing.filter("missing_archive")), box
-    )
+    new = append.restrict_dates(cells, missing.filter("missing_granule"))
+    store.write_daily(_one_per_day(filters.clip_box(new, box, grid), order), daily_path)
+    new = append.restrict_dates(cells, missing.filter("missing_archive"))
+    boxed = _one_per_day(filters.select_box(new, box), order)
     # The calendar of the gaps is small: counting it sizes the files.
     gaps = missing.filter("missing_archive").select("date").distinct().count()
     store.write_archive(append.new_rows(archive_before, boxed), archive_path, days=gaps)
@@ -174,5 +182,7 @@ def build_year_archive(
     shaped = conform.rename_drop(conform.standardize_dims(raw), rename or {}, drop)
     if "value" not in shaped.columns:
         shaped = shaped.withColumnRenamed("precip", "value")
-    cells = filters.drop_empty_days(conform.conform_cells(shaped, grid))
-    store.write_archive(filters.select_box(cells, box), path, mode="overwrite")
+    order = _times(shaped)
+    cells = filters.drop_empty_days(conform.conform_cells(shaped, grid, keep=order))
+    boxed = _one_per_day(filters.select_box(cells, box), order)
+    store.write_archive(boxed, path, mode="overwrite")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -32,14 +31,9 @@ def build_session(app: str = "terracell", master: str | None = None, **conf) ->
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under ``spark.checkpoint.dir`` for tables a job writes and reads back.
-
-    Only a local session may fall back to a temporary folder of its own.
-    """
+    """A new folder under ``spark.checkpoint.dir``, which the session must have set, for
+    tables that a job writes and reads back."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        base = tempfile.mkdtemp(prefix="terracell-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")

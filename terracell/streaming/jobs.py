@@ -34,6 +34,14 @@ def stream_append(
     """
 
     def add(batch: DataFrame, _batch_id: int) -> None:
+        # Span, days and rows come from one read of the batch's files.
+        batch = batch.persist()
+        try:
+            merge(batch)
+        finally:
+            batch.unpersist()
+
+    def merge(batch: DataFrame) -> None:
         spark = batch.sparkSession
         # Two dates prune the archive's partitions and row groups; the days in between
         # that the batch does not have drop out in the scan stage.

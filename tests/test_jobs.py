@@ -146,3 +146,32 @@ def test_catalog(spark):
 
 def test_shared_folder_comes_from_the_session(spark):
     assert shared_dir(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_one_row_for_each_day_and_cell(spark, tmp_path):
+    """Two times of a day, two spellings of a longitude, and a row off the grid."""
+    raw = spark.createDataFrame(
+        [("chirps", "2020-05-01 00:00:00", -1.0, -59.5, 1.0), ("chirps", "2020-05-01 12:00:00", -1.0, 300.5, 2.0),
+         ("chirps", "2020-05-01 12:00:00", -1.0, -75.5, 9.0), ("merge", "2020-05-01 00:00:00", -1.0, -59.5, 5.0)],
+        "source string, time string, lat double, lon double, value double",
+    ).withColumn("time", F.col("time").cast("timestamp_ntz"))
+    expected = [("chirps", 2, 1, -1.0, -59.5, 2.0), ("merge", 2, 1, -1.0, -59.5, 5.0)]
+    seen = lambda df: sorted(tuple(r) for r in df.select("source", "row", "col", "lat", "lon", "value").collect())
+    years = str(tmp_path / "years")
+    for _ in range(2):
+        ingest.build_year_archive(raw, GRID, BOX, years)
+    assert seen(store.scan_archive(spark, years)) == expected
+
+    day = F.lit("2020-05-01").cast("date")
+    windows = raw.select("source").distinct().withColumns({"start_date": day, "end_date": day})
+    daily = str(tmp_path / "daily")
+    for k in range(2):
+        ingest.ingest_precipitation(raw, windows, GRID, BOX, daily, str(tmp_path / f"work{k}"))
+        assert seen(store.scan_daily(spark, daily)) == expected
+
+    kelvin = raw.withColumnRenamed("value", "t2m").withColumn("t2m", F.col("t2m") + 273.15)
+    daily, kept = str(tmp_path / "t-daily"), str(tmp_path / "t-kept")
+    for k in range(2):
+        ingest.ingest_temperature(kelvin, windows, "2m_temperature", GRID, BOX, daily, kept, str(tmp_path / f"t{k}"))
+        for table in (store.scan_daily(spark, daily), store.scan_archive(spark, kept)):
+            assert [r[:5] for r in seen(table)] == [r[:5] for r in expected]
