@@ -16,13 +16,16 @@ def request_status(
     lat: str = "lat",
     lon: str = "lon",
     days=("start_date", "end_date"),
+    needs=(),
 ) -> Column:
     """First problem of a request row, or ``ok``.
 
-    ``missing_location``, ``bad_date``, ``future_date`` (needs ``as_of``),
-    ``bad_range``, ``unknown_source`` (needs ``sources``).
+    ``missing_location``, ``missing_`` and a name out of ``needs``, ``bad_date``,
+    ``future_date`` (needs ``as_of``), ``bad_range``, ``unknown_source`` (needs ``sources``).
     """
     status = F.when(F.col(lat).isNull() | F.col(lon).isNull(), "missing_location")
+    for c in needs:
+        status = status.when(F.col(c).isNull(), f"missing_{c}")
     present = [c for c in days if c in columns]
     parsed = [parse_day(c) for c in present]
     for d in parsed:

@@ -117,9 +117,9 @@ def ingest_precipitation(
     after = daily_days(spark, daily_path, wanted)
     if index_path:
         # The index is rebuilt from every folder of the set.
-        located = store.scan_daily(spark, daily_path).select("source", "date").distinct()
-        located = located.withColumn("path", names.granule_name("source", "date"))
-        index.write_mosaic_index(index.mosaic_index(located, box), index_path)
+        folder = F.regexp_extract("_metadata.file_path", "^(.*)/", 1).alias("location")
+        located = store.scan_daily(spark, daily_path).select("source", "date", folder).distinct()
+        index.write_mosaic_index(index.folder_index(located, box), index_path)
     return run_outcomes(wanted, before, after)
 
 

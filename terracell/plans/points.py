@@ -52,10 +52,13 @@ def check_point_requests(
     sources=PRECIPITATION_SOURCES,
     as_of=None,
     tolerance: float = POINT_TOLERANCE_DEG,
+    needs=(),
 ) -> DataFrame:
     """Requests with parsed days, nearest cell and ``status``; a good request out of
     tolerance is ``no_cell``.  Only good requests keep their cell."""
-    checked = requests.withColumn("status", request_status(requests.columns, sources, as_of))
+    checked = requests.withColumn(
+        "status", request_status(requests.columns, sources, as_of, needs=needs)
+    )
     checked = checked.withColumns(
         {"start_date": parse_day("start_date"), "end_date": parse_day("end_date")}
     )
@@ -111,7 +114,7 @@ def point_history(cells: DataFrame, requests: DataFrame, grid: Grid, order=(), *
 
 def point_triggers(cells: DataFrame, requests: DataFrame, grid: Grid, **check) -> DataFrame:
     """Every request with ``status``, ``n_exceedances`` and the list of them."""
-    checked = check_point_requests(requests, grid, **check)
+    checked = check_point_requests(requests, grid, needs=("trigger",), **check)
     keys = [*_QUESTION, "trigger"]
     questions = _questions(checked, keys)
     series = _series(filters.above_lowest(cells, questions), questions)
@@ -155,7 +158,7 @@ def pixel_value(
     cell it lies in.  ``status`` is ``no_data`` where the day or the cell has nothing.
     """
     checked = requests.withColumn(
-        "status", request_status(requests.columns, sources, as_of, days=("date",))
+        "status", request_status(requests.columns, sources, as_of, days=("date",), needs=("width", "height"))
     ).withColumn("date", parse_day("date"))
     x, y = geo.lonlat_to_pixel("lat", "lon", "width", "height", box)
     px_lon = F.lit(box.west) + (F.col("x") + 0.5) / F.col("width") * F.lit(box.east - box.west)

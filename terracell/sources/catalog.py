@@ -21,7 +21,7 @@ def available_sources(cells: DataFrame, data_type: str | None = None) -> DataFra
 def with_loaded_flag(requests: DataFrame, cells: DataFrame) -> DataFrame:
     """Adds ``is_loaded``: whether the request's source has data."""
     have = available_sources(cells).withColumn("is_loaded", F.lit(True))
-    flagged = requests.join(F.broadcast(have), "source", "left")
+    flagged = requests.join(have, "source", "left")
     return flagged.withColumn("is_loaded", F.coalesce("is_loaded", F.lit(False)))
 
 
@@ -47,6 +47,6 @@ def dataset_info(cells: DataFrame) -> DataFrame:
     variables = sorted(c for c in cells.columns if c not in fixed)
     return (
         time_extent(cells)
-        .join(F.broadcast(axes), "source")
+        .join(axes, "source")
         .withColumn("variables", F.array(*[F.lit(v) for v in variables]))
     )

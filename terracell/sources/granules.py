@@ -46,6 +46,12 @@ def mosaic_index(
     )
 
 
+def folder_index(folders: DataFrame, box: BBox) -> DataFrame:
+    """The same index for ``source``, ``date`` and ``location`` of a daily set's folders."""
+    day = F.col("date").alias("ingestion")
+    return folders.select("source", "location", day, box_literal(box).alias("footprint"))
+
+
 def write_mosaic_index(index: DataFrame, path: str) -> None:
     """Drops and rebuilds the index."""
     index.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)

@@ -3,6 +3,7 @@
 import datetime as dt
 import glob
 import os
+from urllib.parse import urlparse
 
 import pytest
 from pyspark.sql import functions as F
@@ -87,7 +88,9 @@ def test_ingest_precipitation_twice(spark, tmp_path):
     # Cells that touch the box: half a degree cells, centres from -20 to 0 and -60 to -40.
     assert cells.filter("date = '2021-01-01'").count() == 41 * 41
     index = spark.read.parquet(str(tmp_path / "index"))
-    assert {r.ingestion.day for r in index.collect()} == {1, 3, 4}
+    found = {r.ingestion.day: urlparse(r.location).path for r in index.collect()}
+    assert {d: os.path.basename(p) for d, p in found.items()} == {d: f"date=2021-01-0{d}" for d in (1, 3, 4)}
+    assert all(os.path.isdir(p) for p in found.values())
 
 
 def test_ingest_temperature_fills_each_target(spark, tmp_path):

@@ -157,3 +157,14 @@ def test_single_site_out_of_tolerance_is_empty(spark):
     cells = grid_cells(spark, UP)
     ask = lambda lat: points.site_series(cells, UP, lat, -55.0, "2020-01-01", "2021-12-31").count()
     assert ask(-5.04) == 1 and ask(-5.1) == 0
+
+
+def test_requests_without_trigger_or_radius(spark):
+    asked = spark.createDataFrame(
+        [(1, "chirps", 0.0, 0.0, 5.0, 10.0), (2, "chirps", 0.0, 0.0, None, 10.0), (3, "chirps", 0.0, 0.0, 5.0, None)],
+        "request_id int, source string, lat double, lon double, trigger double, radius double",
+    ).selectExpr("*", "'2020-01-01' AS start_date", "'2020-01-02' AS end_date")
+    from terracell.plans.areas import check_area_requests
+
+    checked = check_area_requests(asked).orderBy("request_id")
+    assert [r.status for r in checked.collect()] == ["ok", "missing_trigger", "missing_radius"]
