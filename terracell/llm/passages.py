@@ -4,7 +4,7 @@ Paragraphs are cut by content alone, so a passage gives the same ones wherever i
 they end at line ends and at most ends of sentences.  Equal
 paragraphs meet by the name of their words; others through bands of MinHash values,
 tuned for recall, with an exact check of each paragraph that shares a band against the
-first of the band.  Components of what is alike keep their first occurrence; later ones
+first of the band, then in tiles of bounded size of those still apart.  Components of what is alike keep their first occurrence; later ones
 go where they add up to a run of enough words.
 """
 
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from terracell.llm.graph import components
-from terracell.llm.jaccard import verified_stars
+from terracell.llm.jaccard import verified_stars, verified_tiles
 from terracell.llm.registry import query, read
 from terracell.llm.store import checkpointed, columns, written
 from terracell.llm.words import chunks, mix, shingle_hashes, text_bytes, word_hashes
@@ -162,17 +162,38 @@ def _asked_sets(texts: DataFrame) -> DataFrame:
     return texts.select("asked", "text").mapInArrow(run, "node long, shingles binary")
 
 
-def _links(keyed: DataFrame, where: DataFrame, bands: int, values: int) -> DataFrame:
-    """Verified links (a, b) between paragraph names that share a band."""
+def shared_bands(rows: DataFrame) -> DataFrame:
+    """(key, node, hub), each once, of the bands that several paragraph names share; the hub is the smallest."""
     of = Window.partitionBy("key")
-    rows = band_rows(keyed, bands, values).withColumns({"hub": F.min("node").over(of)}).where("hub != node")
-    pairs = checkpointed(rows.select("hub", F.col("node").alias("member")).distinct())
-    needed = pairs.select(F.col("hub").alias("node")).union(pairs.select("member")).distinct()
+    ends = {"hub": F.min("node").over(of), "high": F.max("node").over(of)}
+    return rows.withColumns(ends).where("hub != high").select("key", "node", "hub").distinct()
+
+
+def _apart(shared: DataFrame, joined: DataFrame) -> DataFrame:
+    """(family, node, component, n) of the bands that still hold several components."""
+    labelled = checkpointed(
+        shared.join(joined, "node", "left").select(F.col("key").alias("family"), "node", F.coalesce("component", "node").alias("component"))
+    )
+    open_ = labelled.groupBy("family").agg(
+        F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")
+    )
+    return labelled.join(open_.where("low != high AND n > 2").select("family", "n"), "family")
+
+
+def _links(keyed: DataFrame, where: DataFrame, bands: int, values: int) -> DataFrame:
+    """Verified links (a, b) that connect all paragraph names that share a band and are alike.
+
+    First each name against the hub of its band, then tiles of the bands still in several components.
+    """
+    shared = written(shared_bands(band_rows(keyed, bands, values)), "shared-bands")
+    pairs = shared.where("hub != node").select("hub", F.col("node").alias("member")).distinct()
+    needed = shared.select("node").distinct()
     # One occurrence of each is enough; a document is asked for all that it is the place of.
     place = where.join(needed, "node").groupBy("node").agg(F.min(F.struct("id", "row")).alias("at"))
     asked = place.groupBy("at").agg(F.collect_list("node").alias("asked")).select("at.id", "at.row", "asked")
     sets = written(_asked_sets(keyed.join(asked, ["id", "row"])).dropDuplicates(["node"]), "paragraph-sets")
-    return checkpointed(verified_stars(pairs, sets))
+    links = checkpointed(verified_stars(pairs, sets))
+    return links.union(checkpointed(verified_tiles(_apart(shared, components(links)), sets)))
 
 
 def repeated_paragraphs(keyed: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 import pytest
 
@@ -306,6 +307,35 @@ def test_passages_go_where_they_repeat(spark):
         assert rows[d].lang == "x"
 
 
+def test_near_copies_under_an_unlike_hub(spark):
+    """Families of edited paragraphs that all share a five-word phrase, against brute force over equal bands."""
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 6))
+    bands, values = passages.tuned_bands()
+    seed = passages.mix(np.arange(1, 2, dtype=np.uint64))
+    some = [" ".join(word() for _ in range(5)) for _ in range(2000)]
+    # The phrase whose five-word run is the smallest: the first band puts all that hold it under one key.
+    phrase = some[int(np.argmin(passages.Paragraphs(pa.array(some)).least(seed)[0]))]
+    texts = []
+    for _ in range(12):
+        own = [word() for _ in range(11)]
+        texts += [" ".join([word(), *own[1:], phrase]) for _ in range(4)]
+    keyed = passages._keyed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).cache()
+    shared, sets = collections.defaultdict(set), {}
+    for r in passages.band_rows(keyed, bands, values).collect():
+        shared[r.key].add(r.node)
+    for t in texts:
+        own = passages.Paragraphs(pa.array([t]))
+        sets |= {int(own.node[i]): own.shingles(i) for i in range(len(own.node))}
+    links = [
+        (a, b) for g in shared.values() for a in g for b in g
+        if a < b and jaccard.similar(len(np.intersect1d(sets[a], sets[b])), len(sets[a]), len(sets[b]))
+    ]
+    want = {n: c for n, c in _components(links, sets).items() if any(n in x for x in links)}
+    found = components(passages._links(keyed, passages.occurrences(keyed), bands, values)).collect()
+    assert {r.node: r.component for r in found} == want and max(map(len, shared.values())) > 12
+
+
 def test_passages_edge_cases(odd):
     rows = passages.without_repeats(odd).collect()
     assert len(rows) == len(ODD)
