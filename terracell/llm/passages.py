@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from terracell.llm.graph import components
-from terracell.llm.jaccard import verified_stars, verified_tiles
+from terracell.llm.jaccard import PERCENT, verified_stars, verified_tiles
 from terracell.llm.registry import query, read
 from terracell.llm.store import checkpointed, columns, written
 from terracell.llm.words import chunks, mix, shingle_hashes, text_bytes, word_hashes
@@ -123,7 +123,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
 def band_rows(docs: DataFrame, bands: int, values: int) -> DataFrame:
     """(key, node): a row per band of every paragraph that can be like another but not equal."""
     seeds = mix(np.arange(1, bands * values + 1, dtype=np.uint64))
-    fewest = math.ceil(SIMILARITY / (1 - SIMILARITY)) + WORDS - 1  # with fewer words only equal ones are alike
+    fewest = -(-PERCENT // (100 - PERCENT)) + WORDS - 1  # with fewer words only equal ones are alike
 
     def run(batches):
         for batch in batches:

@@ -336,6 +336,14 @@ def test_near_copies_under_an_unlike_hub(spark):
     assert {r.node: r.component for r in found} == want and max(map(len, shared.values())) > 12
 
 
+def test_eight_words_are_like_nine_that_hold_them(spark):
+    eight = "one two three four five six seven eight"
+    keyed = passages._keyed(spark.createDataFrame([(0, eight), (1, eight + " nine")], "doc_id long, text string")).cache()
+    links = passages._links(keyed, passages.occurrences(keyed), *passages.tuned_bands()).collect()
+    nodes = {r.node for r in passages.occurrences(keyed).collect()}
+    assert {n for r in links for n in r} == nodes and len(nodes) == 2
+
+
 def test_passages_edge_cases(odd):
     rows = passages.without_repeats(odd).collect()
     assert len(rows) == len(ODD)
