@@ -70,6 +70,19 @@ def test_random_strings_are_told_from_words(spark):
     assert all(hit[40 + i] == f"x {w} y" for i, w in enumerate(plain))
 
 
+def test_random_strings_after_an_equals_sign(spark):
+    rng = np.random.default_rng(9)
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    forms = ["AWS_SECRET_ACCESS_KEY={}", "https://a.b/c?sig={}&x=1", "auth={}", "k={}=="]
+    rows = [(i, forms[i % 4].format("".join(rng.choice(letters, 44)))) for i in range(40)]
+    plain = ["x=enbescherverauheitverachber", "x=get_user_name_from_request_context", "x=" + "z" * 40]
+    table = spark.createDataFrame(rows + [(40 + i, w) for i, w in enumerate(plain)], "doc_id long, text string")
+    hit = {r.doc_id: r.r for r in secrets.secret_spans(table).select("row.doc_id", secrets.redacted().alias("r")).collect()}
+    clean = [f.format("[secret]").replace("]==", "]") for f in forms]
+    assert sum(hit[i] == clean[i % 4] for i in range(40)) >= 36
+    assert all(hit[40 + i] == w for i, w in enumerate(plain))
+
+
 def test_secrets_edge_cases(odd):
     rows = secrets.secret_spans(odd).select("row.doc_id", secrets.said("base").alias("s")).collect()
     assert len(rows) == len(ODD) and sorted(r.s for r in rows if r.s) == ["assign:7:24"] * 2
