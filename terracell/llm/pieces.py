@@ -213,8 +213,12 @@ class Model:
                 offer(before[a], a)
         return [p for p in parts if p is not None]
 
-    def _cut(self, cut: str) -> tuple[tuple[int, ...], bytes, bytes]:
-        """Of one cut: its ids, the ids in decimal joined by commas, the bytes that they decode to."""
+    def _cut(self, cut: str) -> tuple[tuple[int, ...], bytes, bytes, bytes, int]:
+        """Of one cut: its ids, the ids in decimal joined by commas, the bytes that they decode to, and alignment.
+
+        That is where each piece ends and how long the cut is in source bytes, as int64 and
+        number, of a source where each mark is a space and all else stands for itself.
+        """
         ids: list[int] = []
         for piece in self._merge(cut):
             known = self.ids.get(piece)
@@ -224,9 +228,29 @@ class Model:
                 ids += [self.bytes[b] for b in piece.encode()]
             else:
                 ids.append(self.unknown)
-        return tuple(ids), ",".join(map(str, ids)).encode(), self._decoded(ids)
+        places, source = [], 0
+        for char in cut:
+            places += [source] * len(char.encode())
+            source += 1 if char == SPACE else len(char.encode())
+        places.append(source)
+        ends = np.array([places[at] for at in self._ends(ids, cut)], np.int64)
+        return tuple(ids), ",".join(map(str, ids)).encode(), self._decoded(ids), ends.tobytes(), source
+
+    def _ends(self, ids, normal: str) -> list[int]:
+        """Where each piece ends in the bytes of the normalised text."""
+        data, ends, at = normal.encode(), [], 0
+        for i in ids:
+            if self.kinds[i] == BYTE:
+                at += 1
+            elif i == self.unknown:
+                lead = data[at]
+                at += 1 if lead < 128 else 2 if lead < 224 else 3 if lead < 240 else 4
+            else:
+                at += len(self.pieces[i].encode())
+            ends.append(at)
+        return ends
 
-    def _cuts(self, normal: str) -> list[tuple[tuple[int, ...], bytes, bytes]]:
+    def _cuts(self, normal: str) -> list[tuple[tuple[int, ...], bytes, bytes, bytes, int]]:
         cuts = self.cuts.findall(normal) if self.cuts else [normal] if normal else []
         return list(map(self.recent.__getitem__, cuts))
 
@@ -235,15 +259,35 @@ class Model:
         return self._cuts(self.normalise(text)[0] if normal is None else normal)
 
     def encode(self, text: str) -> list[int]:
-        return [i for ids, _, _ in self._found(text) for i in ids]
+        return [i for ids, *_ in self._found(text) for i in ids]
 
     def round_trip(self, text: str) -> tuple[int, bytes, bytes]:
         """Number of ids, the ids in decimal joined by commas, the decoded text in UTF-8."""
-        found = self._found(text)
+        return self.aligned(text)[:3]
+
+    def aligned(self, text: str) -> tuple[int, bytes, bytes, np.ndarray]:
+        """As ``round_trip``, and the end of each piece in source bytes: spans follow one another from 0.
+
+        Where each character stays itself and no mark is in the source, the cuts know their
+        own alignment; other texts go byte by byte through ``normalise``.
+        """
+        normal = self._plain(text)
+        places = None
+        if normal is None or SPACE in text:
+            normal, places = self.normalise(text)
+        found = self._cuts(normal)
         if not found:
-            return 0, b"", b""
-        ids, said, back = zip(*found)
-        return sum(map(len, ids)), b",".join(said), self._text(b"".join(back)).encode()
+            return 0, b"", b"", np.zeros(0, np.int64)
+        ids, said, back, ends, sizes = zip(*found)
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        if places is None:
+            length = np.array(sizes, np.int64)
+            stops = np.frombuffer(b"".join(ends), np.int64) + np.repeat(np.cumsum(length) - length, counts)
+            # The mark in front is no byte of the source.
+            stops = np.maximum(stops - (1 if self.dummy_prefix else 0), 0)
+        else:
+            stops = np.array(places, np.int64)[self._ends([i for own in ids for i in own], normal)]
+        return int(counts.sum()), b",".join(said), self._text(b"".join(back)).encode(), stops
 
     def _decoded(self, ids) -> bytes:
         out = bytearray()
@@ -272,7 +316,7 @@ class Model:
         """
         normal, places = self.normalise(text)
         out, at = [], 0
-        for ids, _, _ in self._cuts(normal):
+        for ids, *_ in self._cuts(normal):
             for i in ids:
                 if self.kinds[i] == BYTE:
                     size = 1
@@ -323,7 +367,10 @@ def piece_spans(docs: DataFrame, path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) for each row of ``docs(doc_id, text)``.
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ends_sha256) for each row of ``docs(doc_id, text)``.
+
+    ``ends_sha256`` is of the end of each piece in the UTF-8 of the source, as little-endian
+    64-bit numbers; a piece begins where the one before ends.
 
     Every whole text is encoded and decoded again; nulls count as empty texts, which have
     no ids.  Repeated rows and ids give a row each, a null doc_id stays null, other columns
@@ -336,16 +383,16 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
             for part in chunks(batch):
                 rows = []
                 for text in part.column("text").to_pylist():
-                    n, said, back = own.round_trip(text or "")
-                    rows.append((n, hashlib.sha256(said).hexdigest(), hashlib.sha256(back).hexdigest()))
-                n, said, back = zip(*rows)
+                    n, *found, stops = own.aligned(text or "")
+                    rows.append((n, *(hashlib.sha256(x).hexdigest() for x in (*found, stops.astype("<i8").tobytes()))))
+                n, said, back, ends = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(said), pa.array(back)],
-                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(said), pa.array(back), pa.array(ends)],
+                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ends_sha256"],
                 )
 
     return columns(docs, doc_id="long", text="string").mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ends_sha256 string"
     )
 
 

@@ -405,6 +405,21 @@ def test_pieces_match_the_library(texts):
         assert own.spans(t) == [(p.id, p.begin, p.end) for p in proto.pieces]
 
 
+def test_query_gives_source_ends_of_pieces(spark, texts):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    own = pieces.model(path)
+    rng = np.random.default_rng(10)
+    letters = [chr(c) for c in range(300)] + list("▁▁  \n\t日本\U0001f600é́​")
+    cases = ["".join(rng.choice(letters, rng.integers(0, 14))) for _ in range(1000)] + [" ", "  a", "a▁ b", ""]
+    for t in cases:
+        spans = own.spans(t)
+        assert own.aligned(t)[3].tolist() == [b for _, _, b in spans]
+        assert [a for _, a, _ in spans] == [0, *(b for _, _, b in spans[:-1])][: len(spans)]
+    for row in pieces.op9_pieces(spark, SF).limit(50).collect():
+        ends = np.array([b for _, _, b in own.spans(texts[row.doc_id])], "<i8")
+        assert row.ends_sha256 == hashlib.sha256(ends.tobytes()).hexdigest()
+
+
 def test_char_map_takes_the_longest_prefix():
     # A double array by hand: "a" becomes "x", "ab" becomes "yz".
     units = [0] * 512
