@@ -65,14 +65,14 @@ def exceedances_by_date_lists(spark, sf_dir):
     return out(lists.select("date", F.inline("points")))
 
 
-@query(
-    "area_trigger_points",
-    f"""SELECT q.id AS request_id, CAST(k.d AS VARCHAR) AS date, round_even(lat, 5) AS latitude,
+SQL_AREA_POINTS = f"""SELECT q.id AS request_id, CAST(k.d AS VARCHAR) AS date, round_even(lat, 5) AS latitude,
         round_even(lon, 5) AS longitude, round_even(CAST(v AS DOUBLE), 2) AS precipitation_mm
         FROM ({SQL_REQUESTS}) q JOIN ({sql_cube(by_source=True, missing=True)}) k
         ON k.source = q.source AND NOT wrong AND k.d BETWEEN d1 AND d2 AND v > trig
-        AND {sql_inside("lat", "lon", "slat", "slon", "radius")}""",
-)
+        AND {sql_inside("lat", "lon", "slat", "slon", "radius")}"""
+
+
+@query("area_trigger_points", SQL_AREA_POINTS)
 def area_trigger_points(spark, sf_dir):
     cells = cube(spark, sf_dir, by_source=True, missing=True)
     hits = areas.area_triggers(cells, point_requests(spark, sf_dir), GRID)

@@ -178,11 +178,11 @@ def build_year_archive(
     raw: DataFrame, grid: Grid, box: BBox, path: str, rename=None, drop=("prmsl",)
 ) -> None:
     """Raw cells of any years to the archive: names unified, all-missing days dropped,
-    cropped to the box.  A second run replaces the years it brings."""
+    cropped to the box.  A second run replaces the days it brings, and no others."""
     shaped = conform.rename_drop(conform.standardize_dims(raw), rename or {}, drop)
     if "value" not in shaped.columns:
         shaped = shaped.withColumnRenamed("precip", "value")
     order = _times(shaped)
     cells = filters.drop_empty_days(conform.conform_cells(shaped, grid, keep=order))
     boxed = _one_per_day(filters.select_box(cells, box), order)
-    store.write_archive(boxed, path, mode="overwrite")
+    store.replace_days(boxed, path)
