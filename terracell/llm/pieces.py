@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -89,6 +90,10 @@ class CharMap:
         return (unit >> 10) << ((unit & (1 << 9)) >> 6)
 
 
+def _ids(said: bytes) -> list[int]:
+    return list(map(int, said.split(b",")))
+
+
 class Model:
     """Vocabulary, normaliser settings and the encoder."""
 
@@ -120,6 +125,9 @@ class Model:
         self.unknown = self.kinds.index(UNKNOWN)
         self.ids = {p: i for i, p in enumerate(self.pieces) if self.kinds[i] == NORMAL}
         self.rank = {p: -scores[i] for p, i in self.ids.items()}
+        self.raw = [self._raw(i) for i in range(len(self.pieces))]
+        mark = SPACE.encode()
+        self.sizes = [len(r) - (len(mark) - 1) * r.count(mark) for r in self.raw]  # in source bytes
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if self.kinds[i] == BYTE}
         crossing = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         alone = "" if any("\n" in p for p in self.ids) else "\n"
@@ -213,28 +221,28 @@ class Model:
                 offer(before[a], a)
         return [p for p in parts if p is not None]
 
-    def _cut(self, cut: str) -> tuple[tuple[int, ...], bytes, bytes, bytes, int]:
-        """Of one cut: its ids, the ids in decimal joined by commas, the bytes that they decode to, and alignment.
+    def _cut(self, cut: str) -> tuple[bytes, bytes, bytes]:
+        """Of one cut: its ids in decimal joined by commas, the bytes that they decode to, and alignment.
 
-        That is where each piece ends and how long the cut is in source bytes, as int64 and
-        number, of a source where each mark is a space and all else stands for itself.
+        Alignment is the length of each piece in source bytes, as int32, where each mark is
+        a space and all else stands for itself; of the bytes of a character the last holds it.
         """
         ids: list[int] = []
+        steps = array("i")
         for piece in self._merge(cut):
             known = self.ids.get(piece)
             if known is not None:
                 ids.append(known)
-            elif self.bytes:
-                ids += [self.bytes[b] for b in piece.encode()]
+                steps.append(self.sizes[known])
+                continue
+            data = piece.encode()  # of one character
+            if self.bytes:
+                ids += [self.bytes[b] for b in data]
+                steps.extend([0] * (len(data) - 1))
             else:
                 ids.append(self.unknown)
-        places, source = [], 0
-        for char in cut:
-            places += [source] * len(char.encode())
-            source += 1 if char == SPACE else len(char.encode())
-        places.append(source)
-        ends = np.array([places[at] for at in self._ends(ids, cut)], np.int64)
-        return tuple(ids), ",".join(map(str, ids)).encode(), self._decoded(ids), ends.tobytes(), source
+            steps.append(1 if piece == SPACE else len(data))
+        return ",".join(map(str, ids)).encode(), self._decoded(ids), steps.tobytes()
 
     def _ends(self, ids, normal: str) -> list[int]:
         """Where each piece ends in the bytes of the normalised text."""
@@ -250,7 +258,7 @@ class Model:
             ends.append(at)
         return ends
 
-    def _cuts(self, normal: str) -> list[tuple[tuple[int, ...], bytes, bytes, bytes, int]]:
+    def _cuts(self, normal: str) -> list[tuple[bytes, bytes, bytes]]:
         cuts = self.cuts.findall(normal) if self.cuts else [normal] if normal else []
         return list(map(self.recent.__getitem__, cuts))
 
@@ -259,14 +267,10 @@ class Model:
         return self._cuts(self.normalise(text)[0] if normal is None else normal)
 
     def encode(self, text: str) -> list[int]:
-        return [i for ids, *_ in self._found(text) for i in ids]
+        return [i for said, *_ in self._found(text) for i in _ids(said)]
 
-    def round_trip(self, text: str) -> tuple[int, bytes, bytes]:
-        """Number of ids, the ids in decimal joined by commas, the decoded text in UTF-8."""
-        return self.aligned(text)[:3]
-
-    def aligned(self, text: str) -> tuple[int, bytes, bytes, np.ndarray]:
-        """As ``round_trip``, and the end of each piece in source bytes: spans follow one another from 0.
+    def _joined(self, text: str) -> tuple[bytes, bytes, bytes]:
+        """``_cut`` for a whole text; the mark in front counts as a byte of the source.
 
         Where each character stays itself and no mark is in the source, the cuts know their
         own alignment; other texts go byte by byte through ``normalise``.
@@ -277,28 +281,47 @@ class Model:
             normal, places = self.normalise(text)
         found = self._cuts(normal)
         if not found:
-            return 0, b"", b"", np.zeros(0, np.int64)
-        ids, said, back, ends, sizes = zip(*found)
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+            return b"", b"", b""
+        said, back, steps = zip(*found)
         if places is None:
-            length = np.array(sizes, np.int64)
-            stops = np.frombuffer(b"".join(ends), np.int64) + np.repeat(np.cumsum(length) - length, counts)
-            # The mark in front is no byte of the source.
-            stops = np.maximum(stops - (1 if self.dummy_prefix else 0), 0)
-        else:
-            stops = np.array(places, np.int64)[self._ends([i for own in ids for i in own], normal)]
-        return int(counts.sum()), b",".join(said), self._text(b"".join(back)).encode(), stops
+            return b",".join(said), b"".join(back), b"".join(steps)
+        stops = np.array(places, np.int64)[self._ends([i for own in said for i in _ids(own)], normal)]
+        stops += self.dummy_prefix
+        return b",".join(said), b"".join(back), np.diff(stops, prepend=0).astype("<i4").tobytes()
+
+    def aligned(self, texts: list[str]) -> list[tuple[int, bytes, bytes, np.ndarray]]:
+        """For each text the number of ids, the ids in decimal joined by commas, the decoded text
+        in UTF-8, and the end of each piece in source bytes: spans follow one another from 0.
+
+        The ends of all texts come from one running sum of the lengths of their pieces.
+        """
+        rows = [self._joined(text) for text in texts]
+        steps = np.frombuffer(b"".join([r[2] for r in rows]), "<i4")
+        counts = np.array([len(r[2]) // 4 for r in rows], np.int64)
+        cuts = np.append(0, np.cumsum(counts))
+        total = np.append(0, np.cumsum(steps, dtype=np.int64))
+        # The mark in front is no byte of the source.
+        stops = total[1:] - np.repeat(total[cuts[:-1]] + self.dummy_prefix, counts)
+        np.maximum(stops, 0, out=stops)
+        return [
+            (int(n), said, self._text(back).encode(), stops[a:b])
+            for (said, back, _), n, a, b in zip(rows, counts, cuts[:-1], cuts[1:])
+        ]
+
+    def round_trip(self, text: str) -> tuple[int, bytes, bytes]:
+        """Number of ids, the ids in decimal joined by commas, the decoded text in UTF-8."""
+        return self.aligned([text])[0][:3]
 
     def _decoded(self, ids) -> bytes:
-        out = bytearray()
-        for i in ids:
-            if self.kinds[i] == BYTE:
-                out.append(int(self.pieces[i][3:5], 16))
-            elif self.kinds[i] == UNKNOWN:
-                out += UNKNOWN_TEXT.encode()
-            elif self.kinds[i] != CONTROL:
-                out += self.pieces[i].encode()
-        return bytes(out)
+        return b"".join([self.raw[i] for i in ids])
+
+    def _raw(self, i: int) -> bytes:
+        """The bytes that an id decodes to."""
+        if self.kinds[i] == BYTE:
+            return bytes([int(self.pieces[i][3:5], 16)])
+        if self.kinds[i] == UNKNOWN:
+            return UNKNOWN_TEXT.encode()
+        return b"" if self.kinds[i] == CONTROL else self.pieces[i].encode()
 
     def _text(self, data: bytes) -> str:
         """Decoded bytes as text: marks are spaces, and the mark put in front goes."""
@@ -316,8 +339,8 @@ class Model:
         """
         normal, places = self.normalise(text)
         out, at = [], 0
-        for ids, *_ in self._cuts(normal):
-            for i in ids:
+        for said, *_ in self._cuts(normal):
+            for i in _ids(said):
                 if self.kinds[i] == BYTE:
                     size = 1
                 elif i == self.unknown:
@@ -382,9 +405,8 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             for part in chunks(batch):
                 rows = []
-                for text in part.column("text").to_pylist():
-                    n, *found, stops = own.aligned(text or "")
-                    rows.append((n, *(hashlib.sha256(x).hexdigest() for x in (*found, stops.astype("<i8").tobytes()))))
+                for n, *found, stops in own.aligned([t or "" for t in part.column("text").to_pylist()]):
+                    rows.append((n, *(hashlib.sha256(x).hexdigest() for x in (*found, stops.astype("<i8", copy=False)))))
                 n, said, back, ends = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(said), pa.array(back), pa.array(ends)],

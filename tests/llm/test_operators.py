@@ -413,7 +413,7 @@ def test_query_gives_source_ends_of_pieces(spark, texts):
     cases = ["".join(rng.choice(letters, rng.integers(0, 14))) for _ in range(1000)] + [" ", "  a", "a▁ b", ""]
     for t in cases:
         spans = own.spans(t)
-        assert own.aligned(t)[3].tolist() == [b for _, _, b in spans]
+        assert own.aligned([t])[0][3].tolist() == [b for _, _, b in spans]
         assert [a for _, a, _ in spans] == [0, *(b for _, _, b in spans[:-1])][: len(spans)]
     for row in pieces.op9_pieces(spark, SF).limit(50).collect():
         ends = np.array([b for _, _, b in own.spans(texts[row.doc_id])], "<i8")
