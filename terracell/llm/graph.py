@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from terracell.llm.store import checkpointed
+from terracell.llm.store import checkpointed, free
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -15,14 +15,15 @@ def components(edges: DataFrame) -> DataFrame:
     smallest one, first the larger neighbours, then the smaller, so depths shrink
     geometrically; a node with very many neighbours is an aggregation with map-side
     combine and a join whose hot side adaptive execution splits.  Each round is
-    checkpointed in the shared folder.
+    written to the shared folder, and then takes the place of the round before.
     """
     edges = edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi != lo").distinct()
     edges, mark = _kept(edges)
     while mark[0]:
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(edges.select("lo", "hi"))
-        edges = _tied(both, larger=True)
-        edges, now = _kept(_tied(edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")), larger=False))
+        old, tied = edges, _tied(both, larger=True)
+        edges, now = _kept(_tied(tied.select(F.col("hi").alias("u"), F.col("lo").alias("v")), larger=False))
+        free(old)
         if now == mark:
             break
         mark = now

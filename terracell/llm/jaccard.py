@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from terracell.llm.graph import components
 from terracell.llm.registry import query, read
-from terracell.llm.store import checkpointed, columns, written
+from terracell.llm.store import Scratch, checkpointed, columns, free, fresh, same_columns, written
 from terracell.llm.vectors import _merge
 from terracell.llm.words import chunks, mix, shingle_sets
 
@@ -135,7 +135,10 @@ def _node(shingles: np.ndarray) -> int:
 
 
 def shingle_counts(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, node): the size of each row's set and its name, null when it's empty."""
+    """(doc_id, row, n_shingles, node): the size of each row's set and its name, null when it's empty.
+
+    ``row`` is the hash of the text as it is, to tell rows with one id apart.
+    """
 
     def run(batches):
         for batch in batches:
@@ -143,11 +146,12 @@ def shingle_counts(docs: DataFrame) -> DataFrame:
                 rows = [(len(s), _node(s) if len(s) else None) for s in shingle_sets(part.column("text"), WORDS)]
                 n, node = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64())],
-                    ["doc_id", "n_shingles", "node"],
+                    [part.column("doc_id"), part.column("row"), pa.array(n, pa.int64()), pa.array(node, pa.int64())],
+                    ["doc_id", "row", "n_shingles", "node"],
                 )
 
-    return columns(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, n_shingles long, node long")
+    texts = columns(docs, doc_id="long", text="string").withColumn("row", F.xxhash64("text"))
+    return texts.mapInArrow(run, "doc_id long, row long, n_shingles long, node long")
 
 
 def _once(batches):
@@ -219,7 +223,8 @@ def shared_rows(index: DataFrame) -> DataFrame:
             .where(F.col("n") >= F.col("info").bitwiseAND((1 << 31) - 1))
             .select("node", "info")
         )
-        rows = written(kept(rows.join(enough, ["node", "info"])), "shared-keys")
+        old, rows = rows, written(kept(rows.join(enough, ["node", "info"])), "shared-keys")
+        free(old)
     sized = rows.select("key", "node", F.shiftright("info", 32).alias("size"))
     return sized.withColumn("hub", F.min(F.struct("size", "node")).over(of))
 
@@ -343,6 +348,31 @@ def verified_tiles(groups: DataFrame, sets: DataFrame) -> DataFrame:
     return tiles.join(sets, "node").groupBy("family", "i", "j").applyInArrow(lambda t: _tile(t), "a long, b long")
 
 
+def labelled_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, n_shingles, component) for each row; the component names a set, null for an empty one.
+
+    Written to the shared folder; all that led to it is gone.
+    """
+    with Scratch() as scratch:
+        named = written(shingle_counts(docs), "shingle-counts")
+        shared = written(shared_rows(index_rows(docs)), "shared-keys")
+        sets = written(needed_sets(docs, named, shared.select("node").distinct()), "shingle-sets")
+        pairs = (
+            shared.where(similar(F.col("hub.size"), F.col("hub.size"), F.col("size")) & (F.col("hub.node") != F.col("node")))
+            .select(F.col("hub.node").alias("hub"), F.col("node").alias("member"))
+            .distinct()
+        )
+        links = checkpointed(verified_stars(pairs, sets))
+        more = checkpointed(verified_tiles(_unsettled(shared, components(links)), sets))
+        free(shared)
+        free(sets)
+        joined = components(links.union(more))
+        labelled = named.join(joined, "node", "left").select(
+            "doc_id", "row", "n_shingles", F.coalesce("component", "node").alias("component")
+        )
+        return scratch.keep(written(labelled, "labelled"))
+
+
 def join_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs(doc_id, text)``.
 
@@ -354,27 +384,40 @@ def join_documents(docs: DataFrame) -> DataFrame:
     names a component (a component of nulls alone has none).  Other columns are ignored;
     an empty table gives no rows.
     """
-    named = written(shingle_counts(docs), "shingle-counts")
-    shared = written(shared_rows(index_rows(docs)), "shared-keys")
-    sets = written(needed_sets(docs, named, shared.select("node").distinct()), "shingle-sets")
-    pairs = (
-        shared.where(similar(F.col("hub.size"), F.col("hub.size"), F.col("size")) & (F.col("hub.node") != F.col("node")))
-        .select(F.col("hub.node").alias("hub"), F.col("node").alias("member"))
-        .distinct()
-    )
-    links = checkpointed(verified_stars(pairs, sets))
-    more = verified_tiles(_unsettled(shared, components(links)), sets)
-    joined = components(links.union(checkpointed(more)))
-    labelled = named.join(joined, "node", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "node").alias("component")
-    )
-    labelled = checkpointed(labelled)
+    labelled = labelled_rows(docs)
     lowest = labelled.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("lowest"))
     return labelled.join(lowest, "component", "left").select(
         "doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("lowest")).alias("component_id")
     )
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with one row of each component of ``join_documents``, all columns as they are.
+
+    Rows are told apart by doc_id and text.  The smallest doc_id of a component stays, a
+    null one only where there is no other; of several texts with that id, one.  Of rows
+    with equal doc_id and text one stays, any of them where other columns differ.  Null,
+    empty and blank texts all stay.  Columns may have any names; an empty table gives no rows.
+    """
+    labelled = labelled_rows(docs).where("component IS NOT NULL")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    first = labelled.groupBy("component").agg(F.min(place).alias("first"))
+    later = labelled.join(first, "component").where(
+        ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row") == F.col("first.row")))
+    )
+    # What goes, and what is there more than once and stays once.
+    again = labelled.groupBy("doc_id", "row").agg(F.count("*").alias("n")).where("n > 1")
+    marks = later.select("doc_id", "row", F.lit(1).alias("mark")).union(again.select("doc_id", "row", F.lit(2)))
+    marks = marks.groupBy("doc_id", "row").agg(F.min("mark").alias("mark"))
+    i, r, m = fresh(docs, "id", "row", "mark")
+    marks = marks.select(F.col("doc_id").alias(f"{i}2"), F.col("row").alias(f"{r}2"), F.col("mark").alias(m))
+    rows = docs.withColumns({i: F.col("doc_id").cast("long"), r: F.xxhash64(F.col("text").cast("string"))})
+    same = F.col(i).eqNullSafe(F.col(f"{i}2")) & (F.col(r) == F.col(f"{r}2"))
+    found = rows.join(marks, same, "left")
+    once = found.where(F.col(m) == 2).dropDuplicates([i, r])
+    return found.where(F.col(m).isNull()).union(once).select(*same_columns(docs))
+
+
 @query("op6_jaccard")
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_documents(read(spark, sf_dir, "documents"))

@@ -46,7 +46,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # A text with the string of an added token goes to the library whole.
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added)) if added else None
         self.size = self.tokenizer.get_vocab_size()
         if self.size > 1 << 16:
             raise ValueError("ids are kept in 16 bits")
@@ -70,6 +72,9 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian 16-bit numbers."""
+        if self.added and self.added.search(text):
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}H", *ids)
         return b"".join(map(self.recent.__getitem__, _CUTS.findall(text)))
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 from terracell.llm.graph import components
 from terracell.llm.jaccard import PERCENT, verified_stars, verified_tiles
 from terracell.llm.registry import query, read
-from terracell.llm.store import checkpointed, columns, written
+from terracell.llm.store import Scratch, checkpointed, columns, fresh, same_columns, written
 from terracell.llm.words import chunks, mix, shingle_hashes, text_bytes, word_hashes
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.99
@@ -201,19 +201,22 @@ def repeated_paragraphs(keyed: DataFrame) -> DataFrame:
 
     Copies within a document count too.  Rows equal in id and text are one document.
     """
-    where = written(occurrences(keyed), "paragraphs")
-    joined = components(_links(keyed, where, *tuned_bands()))
-    counts = where.groupBy("node").agg(F.count("*").alias("n"))
-    labels = checkpointed(
-        counts.join(joined, "node", "left")
-        .where("n > 1 OR component IS NOT NULL")
-        .select("node", F.coalesce("component", "node").alias("component"))
-    )
-    found = checkpointed(where.join(labels, "node").select("id", "row", "place", "component"))
-    first = found.groupBy("component").agg(F.min(F.struct("id", "row", "place")).alias("first"))
-    later = found.join(first, "component").where("struct(id, row, place) != first")
-    # As many places as the document has paragraphs.
-    return later.groupBy("id", "row").agg(F.collect_set("place").alias("places"))
+    with Scratch() as scratch:
+        where = written(occurrences(keyed), "paragraphs")
+        with Scratch() as inner:
+            joined = inner.keep(checkpointed(components(_links(keyed, where, *tuned_bands()))))
+        counts = where.groupBy("node").agg(F.count("*").alias("n"))
+        labels = checkpointed(
+            counts.join(joined, "node", "left")
+            .where("n > 1 OR component IS NOT NULL")
+            .select("node", F.coalesce("component", "node").alias("component"))
+        )
+        found = checkpointed(where.join(labels, "node").select("id", "row", "place", "component"))
+        first = found.groupBy("component").agg(F.min(F.struct("id", "row", "place")).alias("first"))
+        later = found.join(first, "component").where("struct(id, row, place) != first")
+        # As many places as the document has paragraphs.
+        places = later.groupBy("id", "row").agg(F.collect_set("place").alias("places"))
+        return scratch.keep(checkpointed(places))
 
 
 def runs_to_cut(own: Paragraphs, places: list, run_words: int) -> list[list[tuple[int, int]]]:
@@ -246,8 +249,11 @@ def _cut(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join(kept)
 
 
-def without_repeats(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
-    """``docs`` with every repeated passage cut out of ``text``, and its ``removed`` spans (start, end).
+def without_repeats(docs: DataFrame, run_words: int = RUN_WORDS, spans: str = "removed") -> DataFrame:
+    """``docs`` with every repeated passage cut out of ``text``, and the spans (start, end) cut out.
+
+    ``spans`` names their column, which ``docs`` must not have; all its other columns may
+    have any names.
 
     Of each component the occurrence with the smallest doc_id, then place, stays.  Removed
     are runs of paragraphs that have at least ``run_words`` words, with the white space
@@ -256,35 +262,38 @@ def without_repeats(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     document and keep or lose the same; a null doc_id comes after all others; an empty
     table gives no rows.
     """
-    places = repeated_paragraphs(_keyed(docs)).select(
-        F.col("id").alias("__id"), F.col("row").alias("__row"), F.col("places").alias("__places")
-    )
-    rows = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__row": F.xxhash64("text")})
-    joined = rows.join(places, ["__id", "__row"], "left").select(*[f"`{c}`" for c in docs.columns], "__places")
-    kept = joined.schema.fieldNames()[:-1]
+    if spans.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"there is a column {spans!r}; name another one for the spans")
+    i, r, p = fresh(docs, "id", "row", "places")
+    places = repeated_paragraphs(_keyed(docs)).select(F.col("id").alias(f"{i}2"), F.col("row").alias(f"{r}2"), F.col("places").alias(p))
+    rows = docs.withColumns({i: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), r: F.xxhash64(F.col("text").cast("string"))})
+    same = (F.col(i) == F.col(f"{i}2")) & (F.col(r) == F.col(f"{r}2"))
+    joined = rows.join(places, same, "left").select(*same_columns(docs), p)
+    # By place, as the names may be such that no column can be asked for by them.
+    joined = joined.toDF(*[f"c{k}" for k in range(len(joined.columns))])
+    text_at, kept = docs.columns.index("text"), joined.columns[:-1]
     schema = T.StructType(
-        [*joined.schema.fields[:-1], T.StructField("removed", T.ArrayType(T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType())))]
+        [*joined.schema.fields[:-1], T.StructField("spans", T.ArrayType(T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType())))]
     )
 
     def run(batches):
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
-            for part in chunks(batch):
-                asked, texts = part.column("__places").to_pylist(), part.column("text")
-                spans: list = [[] for _ in asked]
-                some = [i for i, x in enumerate(asked) if x]
+            for part in chunks(batch, f"c{text_at}"):
+                asked, texts = part.column(len(kept)).to_pylist(), part.column(text_at)
+                found_in: list = [[] for _ in asked]
+                some = [at for at, x in enumerate(asked) if x]
                 if some:
-                    found = runs_to_cut(Paragraphs(texts.take(pa.array(some))), [asked[i] for i in some], run_words)
-                    spans = [*spans]
-                    for i, own in zip(some, found):
-                        spans[i] = own
+                    found = runs_to_cut(Paragraphs(texts.take(pa.array(some))), [asked[at] for at in some], run_words)
+                    for at, own in zip(some, found):
+                        found_in[at] = own
                     old = texts.to_pylist()
-                    texts = pa.array([_cut(t, s) if s else t for t, s in zip(old, spans)], texts.type)
-                cols = [texts if c == "text" else part.column(c) for c in kept]
-                removed = pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], kind)
-                yield pa.RecordBatch.from_arrays([*cols, removed], [*kept, "removed"])
+                    texts = pa.array([_cut(t, s) if s else t for t, s in zip(old, found_in)], texts.type)
+                cols = [texts if k == text_at else part.column(k) for k in range(len(kept))]
+                removed = pa.array([[{"start": a, "end": b} for a, b in s] for s in found_in], kind)
+                yield pa.RecordBatch.from_arrays([*cols, removed], [*kept, "spans"])
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(run, schema).toDF(*docs.columns, spans)
 
 
 @query("op7_passages")

@@ -187,7 +187,12 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block: int =
     )
     # Copies of one vector are linked, and joined under the lowest of their ids.
     links = found.groupBy("label", "rep", "key1").agg(F.sum("links").alias("links"))
-    joined = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    # An id on rows with different vectors is one node: it is tied to the first of each.
+    met = usable.select("label", "key1", "key2", "vec_id").distinct()
+    repeated = met.groupBy("vec_id").agg(F.count("*").alias("n")).where("n > 1").select("vec_id")
+    tied = met.join(repeated, "vec_id").join(folded.select("label", "key1", "key2", "rep"), ["label", "key1", "key2"])
+    edges = found.select(F.col("rep").alias("a"), F.col("root").alias("b")).union(tied.select("rep", "vec_id"))
+    joined = components(edges)
     reps = (
         folded.select("label", "key1", "key2", "rep", "weight")
         .join(links, ["label", "rep", "key1"], "left")

@@ -194,3 +194,80 @@ def test_unary_paths_are_compacted(spark):
     assert found == [("a b c d e", 30), ("c d e f", 60), ("d e f g h i j k", 30), ("d e f x", 30)]
     counts = {r.gram: r.n for r in grams.collect()}
     assert counts["c d e"] == counts["e f"] == 60 and counts["a"] == 30 and counts[""] == 480
+
+
+def test_one_row_of_each_component_stays(spark):
+    """Rows with one id and different texts, null ids, repeated rows, clashing and dotted names."""
+    from terracell.llm import jaccard
+
+    text = "a b c d e f g h"
+    rows = [(1, text), (1, "unique words that stand alone here"), (0, text), (None, "p q r s t u v"), (None, "p q r s t u v"), (None, text)]
+    rows += [(7, "m n o p q r"), (7, "m n o p q r"), (8, ""), (8, ""), (9, None), (None, None), (5, "x y"), (4, "X  Y"), (3, " \n")]
+    data = [(*r, "k", i) for i, r in enumerate(rows)]
+    df = spark.createDataFrame(data, "doc_id long, text string, `row.of` string, mark int")
+    out = jaccard.one_of_each(df)
+    assert out.columns == df.columns
+    found = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    words = lambda t: tuple((t or "").lower().split())
+    want, best = [], {}
+    for i, t in rows:  # equal sets only, in these rows
+        if not words(t):
+            want.append((i, t))
+        elif words(t) not in best or (i is None, i or 0) < (best[words(t)][0] is None, best[words(t)][0] or 0):
+            best[words(t)] = (i, t)
+    assert found == sorted([*want, *best.values()], key=str)
+    assert jaccard.one_of_each(df.limit(0)).count() == 0
+
+
+def test_passages_keep_clashing_columns(spark):
+    from terracell.llm import passages
+
+    line = " ".join(f"word{k}" for k in range(40)) + "\n"
+    df = spark.createDataFrame([(1, "One.\n" + line, 5, "x", 1), (2, line + "Two.", 6, "y", 2)], "doc_id long, text string, removed int, id string, `a.b` int")
+    with pytest.raises(ValueError):
+        passages.without_repeats(df)
+    out = passages.without_repeats(df, spans="cut").orderBy("doc_id").collect()
+    assert [(r.removed, r.id, r["a.b"]) for r in out] == [(5, "x", 1), (6, "y", 2)]
+    assert out[0].text == df.first().text and out[1].text == "Two."
+
+
+def test_tables_go_when_they_are_superseded(spark, tmp_path):
+    import glob
+
+    from terracell.llm import jaccard
+    from terracell.llm.store import Scratch, written
+
+    base = spark.conf.get("spark.checkpoint.dir")
+    before = set(glob.glob(f"{base}/*"))
+    docs = spark.createDataFrame([(i, f"a b c d e f g {i % 3} h i j k") for i in range(30)], "doc_id long, text string")
+    out = jaccard.labelled_rows(docs)
+    left = set(glob.glob(f"{base}/*")) - before
+    assert len(left) == 1 and out.count() == 30
+    with Scratch() as outer:
+        with Scratch() as inner:
+            kept = inner.keep(written(docs, "kept"))
+            written(docs, "gone")
+        assert kept.count() == 30
+    assert set(glob.glob(f"{base}/*")) - before == left
+    assert not outer.tables.keys() - {kept._stored_at}
+
+
+def test_one_id_on_several_vectors_is_one_node(spark):
+    from terracell.llm import vectors
+
+    rows = [(3, [1.0, 0.0], 1), (5, [1.0, 0.0], 1), (5, [0.0, 1.0], 1), (7, [0.0, 1.0], 1), (9, [-1.0, 0.0], 1)]
+    out = vectors.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id, r.component_id, r.kept) for r in out) == [(3, 3, True), (5, 3, False), (5, 3, False), (7, 3, False), (9, 9, True)]
+
+
+def test_special_strings_are_encoded_as_the_library_does():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from terracell.llm import packing
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    for text in ("hello <|endoftext|> there", "<|endoftext|>", "a<|endoftext|><|endoftext|> b\n", "<|endoftext|", "no such string"):
+        ids = np.frombuffer(packing.encoder(path).encode(text), "<u2").tolist()
+        assert ids == plain.encode(text, add_special_tokens=False).ids
