@@ -400,8 +400,8 @@ def _asked(spark, sf_dir):
     )
 
 
-# First days of the months that have cells.
-_DAYS = f"(SELECT DISTINCT source, CAST(date_trunc('month', d) AS DATE) AS d FROM ({sql_raw()}))"
+# Days that have cells.
+_DAYS = f"(SELECT DISTINCT source, d FROM ({sql_raw()}))"
 # Nearest day by brute force over the distinct wanted days; ties go to the earlier day.
 _NEAREST = f"""SELECT a.source, a.d, arg_min(b.d, abs(a.d - b.d) * 2 + CASE WHEN b.d > a.d THEN 1 ELSE 0 END) AS m
     FROM (SELECT DISTINCT source, d FROM ({_ASKED})) a
@@ -412,8 +412,7 @@ _NEAREST = f"""SELECT a.source, a.d, arg_min(b.d, abs(a.d - b.d) * 2 + CASE WHEN
 def _match(name, strategy, sql):
     @query(name, sql)
     def run(spark, sf_dir):
-        days = raw_cells(spark, sf_dir).withColumn("date", F.trunc("date", "month"))
-        found = timematch.time_match(_asked(spark, sf_dir), days, strategy)
+        found = timematch.time_match(_asked(spark, sf_dir), raw_cells(spark, sf_dir), strategy)
         day = F.coalesce(F.col("matched_date").cast("string"), F.lit(""))
         return found.select("id", "source", day.alias("matched_date"))
 

@@ -9,7 +9,6 @@ from harness.tables import (
     SQL_BANDS,
     TILE,
     cube,
-    monthly,
     out,
     query,
     raw_cells,
@@ -17,7 +16,6 @@ from harness.tables import (
     sites,
     source_of_flag,
     sql_cube,
-    sql_monthly,
     sql_raw,
     bands,
     SQL_SITES,
@@ -67,12 +65,12 @@ def year_archive_counts(spark, sf_dir):
     "write_daily",
     f"""SELECT source, CAST(d AS VARCHAR) AS date, count(*) AS n_cells,
         sum(CAST(CASE WHEN month(d) = 3 THEN v + 1000 ELSE v END AS DOUBLE)) AS total
-        FROM ({sql_monthly()}) GROUP BY source, d""",
+        FROM ({sql_cube(by_source=True)}) GROUP BY source, d""",
 )
 def write_daily(spark, sf_dir):
     """All days written, then some of them again: those are replaced, the rest stays."""
     path = shared_dir(spark, "daily")
-    cells = monthly(spark, sf_dir)
+    cells = cube(spark, sf_dir, by_source=True)
     store.write_daily(cells, path)
     again = cells.filter(F.month("date") == 3)
     store.write_daily(again.withColumn("value", F.col("value") + 1000), path)
@@ -96,7 +94,7 @@ def _all_years(spark, sf_dir):
 
 @query(
     "ingest_precipitation",
-    f"""WITH k AS ({sql_monthly(missing=True)}),
+    f"""WITH k AS ({sql_cube(by_source=True, missing=True)}),
         before AS (SELECT DISTINCT source, d FROM k WHERE month(d) = 2 AND {_TOUCH}),
         made AS (SELECT source, d, count(*) AS n, sum(CAST(v AS DOUBLE)) AS t FROM k WHERE {_TOUCH}
                  GROUP BY source, d HAVING count(v) > 0)
@@ -107,7 +105,7 @@ def _all_years(spark, sf_dir):
 )
 def ingest_precipitation(spark, sf_dir):
     path, work = shared_dir(spark, "precipitation"), shared_dir(spark, "work")
-    cells = monthly(spark, sf_dir, missing=True)
+    cells = cube(spark, sf_dir, by_source=True, missing=True)
     february = cells.filter(F.month("date") == 2)
     store.write_daily(filters.clip_box(february, BOX, GRID), path)
     raw = cells.select(
@@ -126,14 +124,14 @@ def ingest_precipitation(spark, sf_dir):
     f"""SELECT k.source, CAST(d AS VARCHAR) AS date, count(*) AS n_cells, min(CAST(v AS DOUBLE)) AS low,
         max(CAST(v AS DOUBLE)) AS high FROM (
           SELECT source, d, lat, lon, CAST(v + CAST(273.15 AS FLOAT) AS FLOAT) - CAST(273.15 AS FLOAT) AS v
-          FROM ({sql_monthly()})) k
+          FROM ({sql_cube(by_source=True)})) k
         WHERE {_CENTRE} GROUP BY k.source, d""",
 )
 def ingest_temperature(spark, sf_dir):
     """Run twice: the second run finds nothing missing that can be filled."""
     daily, kept = shared_dir(spark, "t-daily"), shared_dir(spark, "t-archive")
     kelvin = (F.col("value") + F.lit(273.15).cast("float")).cast("float")
-    raw = monthly(spark, sf_dir).select(
+    raw = cube(spark, sf_dir, by_source=True).select(
         "source", F.col("date").cast("timestamp_ntz").alias("valid_time"),
         "lat", "lon", kelvin.alias("t2m"),
     )
@@ -151,8 +149,8 @@ def ingest_temperature(spark, sf_dir):
     )
 
 
-_S2 = """SELECT o_orderkey AS scene_id, date_trunc('month', o_orderdate) + to_hours(o_orderkey % 24) AS ts,
-    CAST(date_trunc('month', o_orderdate) AS DATE) AS d, CAST(o_custkey % 100 AS DOUBLE) AS cloud,
+_S2 = """SELECT o_orderkey AS scene_id, CAST(o_orderdate AS TIMESTAMP) + to_hours(o_orderkey % 24) AS ts,
+    CAST(o_orderdate AS DATE) AS d, CAST(o_custkey % 100 AS DOUBLE) AS cloud,
     CAST(-75 + o_custkey % 40 AS DOUBLE) AS w FROM orders"""
 
 
@@ -178,7 +176,7 @@ def ingest_vegetation(spark, sf_dir):
     catalog = read(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("scene_id"),
         (
-            F.trunc("o_orderdate", "month").cast("timestamp_ntz")
+            F.col("o_orderdate").cast("date").cast("timestamp_ntz")
             + F.make_dt_interval(hours=(F.col("o_orderkey") % 24).cast("int"))
         ).alias("ts"),
         (F.col("o_custkey") % 100).cast("double").alias("cloud_cover"),

@@ -79,15 +79,6 @@ def cube(
     return with_keys(cells, GRID)
 
 
-def monthly(spark: SparkSession, sf_dir: str, missing: bool = False) -> DataFrame:
-    """Canonical cells of three sources on the first day of each month, so that a
-    raster has a few hundred cells.  Jobs that write a folder per day use these."""
-    cells = raw_cells(spark, sf_dir, missing).withColumn("date", F.trunc("date", "month"))
-    cells = cells.groupBy("source", "date", "row", "col").agg(F.max("value").alias("value"))
-    cells = cells.withColumns({"lat": geo.lat_of("row", GRID), "lon": geo.lon_of("col", GRID)})
-    return with_keys(cells, GRID)
-
-
 def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers, 0.02 degrees off their cell; every 13th out of tolerance."""
     key = F.col("s_suppkey")
@@ -175,7 +166,6 @@ def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wanted period of each source that has cells."""
     return (
         raw_cells(spark, sf_dir)
-        .filter(F.col("source") != "temp")
         .groupBy("source")
         .agg(
             F.trunc(F.min("date"), "year").alias("start_date"),
@@ -211,14 +201,6 @@ def sql_cube(by_source: bool = False, missing: bool = False) -> str:
     )
 
 
-def sql_monthly(missing: bool = False) -> str:
-    return (
-        f"SELECT source, d, r, c, {LAT_R} AS lat, {LON_C} AS lon, max(v) AS v FROM ("
-        f"SELECT source, CAST(date_trunc('month', d) AS DATE) AS d, r, c, v"
-        f" FROM ({sql_raw(missing)})) GROUP BY source, d, r, c"
-    )
-
-
 SQL_SITES = (
     "SELECT s_suppkey AS id,"
     " CAST(-35.0 AS DOUBLE) + CAST(0.5 AS DOUBLE) * (s_suppkey % 83)"
@@ -259,7 +241,7 @@ SQL_GRANULES = (
 )
 SQL_WINDOWS = (
     "SELECT source, CAST(date_trunc('year', min(d)) AS DATE) AS d1, last_day(max(d)) AS d2"
-    f" FROM ({sql_raw()}) WHERE source <> 'temp' GROUP BY source"
+    f" FROM ({sql_raw()}) GROUP BY source"
 )
 SQL_SPINE = (
     "SELECT source, CAST(unnest(generate_series(d1, d2, INTERVAL 1 DAY)) AS DATE) AS d"
