@@ -489,6 +489,26 @@ def raster_compare(spark, sf_dir):
     return out(stats.withColumns({c: F.round(c, 6) for c in ("mean_abs", "pct_different")}))
 
 
+_TWO_DAYS = f"""SELECT coalesce(a.source, b.source) AS source, a.v AS a, b.v AS b FROM
+    (SELECT * FROM ({sql_cube(by_source=True, missing=True)}) WHERE d = DATE '1998-04-15') a FULL OUTER JOIN
+    (SELECT * FROM ({sql_cube(by_source=True, missing=True)}) WHERE d = DATE '1998-10-16') b
+    ON a.source = b.source AND a.r = b.r AND a.c = b.c"""
+
+
+@query(
+    "raster_compare_days",
+    f"""SELECT source, CAST(max(abs(a - b)) AS DOUBLE) AS max_abs, round(avg(CAST(abs(a - b) AS DOUBLE)), 6) AS mean_abs,
+        count(CASE WHEN abs(a - b) > 0.001 THEN 1 END) AS n_different,
+        round(100.0::DOUBLE * count(CASE WHEN abs(a - b) > 0.001 THEN 1 END) / count(*), 6) AS pct_different
+        FROM ({_TWO_DAYS}) GROUP BY source""",
+)
+def raster_compare_days(spark, sf_dir):
+    """Two days of each source against each other."""
+    cells = cube(spark, sf_dir, by_source=True, missing=True)
+    stats = reports.raster_compare(cells, "1998-04-15", "1998-10-16", keys=("source",))
+    return out(stats.withColumns({c: F.round(c, 6) for c in ("mean_abs", "pct_different")}))
+
+
 @query(
     "validate_granule",
     f"""SELECT source, CAST(d AS VARCHAR) AS date, CASE WHEN source = 'temp' AND day(d) = 1 THEN 'no_crs'

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from harness.points import SQL_AREA_POINTS
 from harness.tables import GRID, cube, out, point_requests, query, read, sql_cube
 from terracell.functions import values
+from terracell.operators import conform
 from terracell.plans import areas
 from terracell.schema import STUDY_AREA, BBox
 from terracell.session import shared_dir
@@ -131,3 +132,27 @@ def replace_days(spark, sf_dir):
             F.sum(F.col("value").cast("double")).alias("total"),
         )
     )
+
+
+@query(
+    "scan_variable",
+    f"""SELECT source, CAST(d AS VARCHAR) AS date, r AS "row", c AS col, CAST(v + 1 AS DOUBLE) AS value
+        FROM ({sql_cube(by_source=True)})""",
+)
+def scan_variable(spark, sf_dir):
+    """One variable of a table that has two."""
+    path = shared_dir(spark, "variables")
+    cells = cube(spark, sf_dir, by_source=True).withColumn("t2m", F.col("value") + 1)
+    cells.withColumnRenamed("value", "rain").write.parquet(path)
+    return out(store.scan_variable(spark, path, "t2m").select("source", "date", "row", "col", "value"))
+
+
+@query(
+    "add_time",
+    f"""SELECT '2001-02-03' AS date, r AS "row", c AS col, CAST(max(v) AS DOUBLE) AS value
+        FROM ({sql_cube()}) GROUP BY r, c""",
+)
+def add_time(spark, sf_dir):
+    """A raster without a day gets one."""
+    raster = cube(spark, sf_dir).groupBy("row", "col").agg(F.max("value").alias("value"))
+    return out(conform.add_time(raster, "2001-02-03"))

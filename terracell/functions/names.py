@@ -67,14 +67,18 @@ def vegetation_name(source) -> Column:
 def resolve_variable(columns, variable: str, aliases=(), fuzzy: bool = True) -> str:
     """Column that holds a variable: the name, the name without underscores, an
     alias, then (``fuzzy``) any column that contains a part of the name."""
-    wanted = [variable, variable.replace("_", ""), *aliases]
-    if fuzzy:
-        parts = [p for p in variable.split("_") if p]
-        wanted += [c for c in columns if any(p in c for p in parts)]
-    for name in wanted:
-        if name in columns:
-            return name
-    raise ValueError(f"no column for {variable!r} among {list(columns)}")
+    names = dict.fromkeys([variable, variable.replace("_", ""), *aliases])
+    place = {name: k for k, name in enumerate(names)}
+    parts = {p for p in variable.split("_") if p} if fuzzy else set()
+
+    def how_close(column: str) -> int | None:
+        """Smaller is closer; a part of the name in it is the farthest match."""
+        return place.get(column, len(place) if any(p in column for p in parts) else None)
+
+    matches = [c for c in columns if how_close(c) is not None]
+    if not matches:
+        raise ValueError(f"no column for {variable!r} among {list(columns)}")
+    return min(matches, key=how_close)
 
 
 def time_attribute(columns) -> str:

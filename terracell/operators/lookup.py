@@ -104,8 +104,26 @@ def _nearest_on_axis(sites, cells, axis, tol, ids):
     return pairs.filter(gap <= F.lit(tol)).groupBy(*ids).agg(best.alias(axis))
 
 
+def _wholly_inside(grid: Grid) -> Column:
+    """Whether all cells of tile (_tr, _tc) are within the site's radius.
+
+    On a rectangle of less than a hemisphere the farthest point is a corner, so the four
+    corner cells decide; a hair is left for rounding.
+    """
+    size = grid.tile
+    rows = [F.col("_tr") * size, F.least(F.col("_tr") * size + (size - 1), F.lit(grid.n_rows - 1))]
+    cols = [F.col("_tc") * size, F.least(F.col("_tc") * size + (size - 1), F.lit(grid.n_cols - 1))]
+    radius = F.col("radius") * (1 - 1e-9)
+    inside = F.lit(True)
+    for r in rows:
+        for c in cols:
+            inside = inside & geo.within_radius(geo.lat_of(r, grid), geo.lon_of(c, grid), "lat", "lon", radius)
+    return F.coalesce(inside, F.lit(False))
+
+
 def covering_tiles(sites: DataFrame, grid: Grid) -> DataFrame:
-    """One row per site and tile that its radius box touches."""
+    """One row per site and tile that its radius box touches; ``all_in`` says that every
+    cell of the tile is within the radius."""
     half = F.col("radius") / F.lit(KM_PER_DEGREE)
 
     def tiles(centre: str, start: float, step: float, n: int) -> Column:
@@ -119,14 +137,15 @@ def covering_tiles(sites: DataFrame, grid: Grid) -> DataFrame:
     rows = sites.withColumn("_tr", tiles("lat", grid.lat0, grid.dlat, grid.n_rows))
     both = rows.withColumn("_tc", tiles("lon", grid.lon0, grid.dlon, grid.n_cols))
     tile = F.col("_tr") * F.lit(grid.tiles_per_row) + F.col("_tc")
-    return both.withColumn("tile_id", tile.cast("int")).drop("_tr", "_tc")
+    return both.withColumns({"tile_id": tile.cast("int"), "all_in": _wholly_inside(grid)}).drop("_tr", "_tc")
 
 
 def radius_join(cells: DataFrame, sites: DataFrame, grid: Grid) -> DataFrame:
     """Cells within each site's ``radius`` (km), as box and circle.
 
     The site is spelled out as the tiles it may touch, which makes the range join an
-    equi-join on ``tile_id``; box and circle are then tested inside the join.
+    equi-join on ``tile_id``; box and circle are then tested inside the join, on the
+    tiles at the edge only: a tile wholly within the radius needs no distance.
     """
     near = covering_tiles(sites, grid).withColumnsRenamed(
         {"lat": "site_lat", "lon": "site_lon"}
@@ -136,4 +155,4 @@ def radius_join(cells: DataFrame, sites: DataFrame, grid: Grid) -> DataFrame:
     if "tile_id" not in cells.columns:
         cells = cells.withColumn("tile_id", geo.tile_id("row", "col", grid))
     inside = geo.within_radius("lat", "lon", "site_lat", "site_lon", "radius")
-    return _in_period(cells.join(near, keys)).filter(inside)
+    return _in_period(cells.join(near, keys)).filter(F.col("all_in") | inside).drop("all_in")

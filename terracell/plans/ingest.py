@@ -116,10 +116,14 @@ def ingest_precipitation(
     store.write_daily(append.restrict_dates(cells, valid), daily_path)
     after = daily_days(spark, daily_path, wanted)
     if index_path:
-        # The index is rebuilt from every folder of the set.
         folder = F.regexp_extract("_metadata.file_path", "^(.*)/", 1).alias("location")
-        located = store.scan_daily(spark, daily_path).select("source", "date", folder).distinct()
-        index.write_mosaic_index(index.folder_index(located, box), index_path)
+        located = store.scan_daily(spark, daily_path).select("source", "date", folder)
+        if store.exists(spark, index_path):
+            # Days of this run only: the folders of other days are not opened.
+            located = append.restrict_dates(located, append.new_rows(before, after)).distinct()
+            index.extend_mosaic_index(index.folder_index(located, box), index_path)
+        else:
+            index.write_mosaic_index(index.folder_index(located.distinct(), box), index_path)
     return run_outcomes(wanted, before, after)
 
 

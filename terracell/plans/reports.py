@@ -16,10 +16,11 @@ def raster_report(cells: DataFrame, bins: int = raster.HISTOGRAM_BINS) -> DataFr
     return raster.raster_stats(cells).join(bars, list(raster.RASTER), "left")
 
 
-def raster_compare(cells: DataFrame, first, second, source: str | None = None) -> DataFrame:
-    """Difference statistics of two days, cell by cell of the same source."""
+def raster_compare(cells: DataFrame, first, second, source: str | None = None, keys=()) -> DataFrame:
+    """Difference statistics of two days, cell by cell of the same source; over all
+    sources together, or a row for each with ``keys=("source",)``."""
     if source is not None:
         cells = cells.filter(F.col("source") == source)
     day = lambda d: filters.time_range(cells, d, d)
     aligned = raster.raster_align(day(first), day(second), on=("source", "row", "col"))
-    return raster.raster_diff_stats(aligned)
+    return raster.raster_diff_stats(aligned, keys=keys)

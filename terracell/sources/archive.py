@@ -80,7 +80,7 @@ def replace_days(cells: DataFrame, path: str, summarise: bool = False) -> None:
     """
     spark = cells.sparkSession
     recover_days(spark, path)
-    if not _exists(spark, path):
+    if not exists(spark, path):
         write_archive(cells, path, mode="overwrite", summarise=summarise)
         return
     new = _staging(path)
@@ -104,7 +104,7 @@ def replace_days(cells: DataFrame, path: str, summarise: bool = False) -> None:
 def _put_in_place(spark: SparkSession, folder: str, path: str) -> None:
     """Years that were copied whole, then the years that keep nothing; may be repeated."""
     fresh = spark.read.schema(ARCHIVE_SCHEMA).parquet(f"{folder}/new")
-    if _exists(spark, f"{folder}/years/_SUCCESS"):
+    if exists(spark, f"{folder}/years/_SUCCESS"):
         whole = spark.read.schema(ARCHIVE_SCHEMA).parquet(f"{folder}/years")
         write_archive(whole, path, mode="overwrite")
         done = per_day_side(whole.select("source", "year").distinct())
@@ -118,7 +118,7 @@ def recover_days(spark: SparkSession, path: str) -> None:
     are removed, as the archive is still as it was before them."""
     for folder in _listed(spark, path):
         if folder.rpartition("/")[2].startswith(_STAGING):
-            if _exists(spark, f"{folder}/years/_SUCCESS"):
+            if exists(spark, f"{folder}/years/_SUCCESS"):
                 _put_in_place(spark, folder, path)
             else:
                 _remove(spark, folder)
@@ -136,7 +136,7 @@ def _file_system(spark: SparkSession, path: str):
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     fs, place = _file_system(spark, path)
     return fs.exists(place)
 

@@ -57,6 +57,12 @@ def write_mosaic_index(index: DataFrame, path: str) -> None:
     index.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
 
 
+def extend_mosaic_index(index: DataFrame, path: str) -> None:
+    """Adds the locations that the index does not have; running it again adds nothing."""
+    held = index.sparkSession.read.schema(index.schema).parquet(path).select("location")
+    index.join(held, "location", "left_anti").write.mode("append").parquet(path)
+
+
 def availability(days: DataFrame, local: DataFrame, remote: DataFrame) -> DataFrame:
     """Whether each day can be had, and from where; local copies come first."""
     keys = ["source", "date"]

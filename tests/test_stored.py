@@ -211,3 +211,56 @@ def test_level_of_a_view(spark, tmp_path, plan_of):
     assert len(seen.collect()) == 49 and {r.value for r in seen.collect()} <= set(means.values())
     close = pyramid.view(cells, path, 4, GRID, BBox(west=-50.0, south=-10.0, east=-45.0, north=-5.0), 10, 10, "2020-01-02", "2020-01-02")
     assert close.count() == 100
+
+
+def test_tiles_wholly_inside_need_no_distance(spark):
+    from terracell.operators import lookup
+
+    cells = full_days(spark, "2020-01-01", 1)
+    sites = spark.createDataFrame(
+        [(1, -15.0, -45.0, 1400.0), (2, -2.0, -58.0, 300.0), (3, -15.0, -45.0, 1200.0), (4, -14.75, -45.25, 20.0)],
+        "site_id int, lat double, lon double, radius double",
+    )
+    tiles = {(r.site_id, r.tile_id): r.all_in for r in lookup.covering_tiles(sites, GRID).collect()}
+    assert tiles[(1, 4)] and not tiles[(1, 0)] and sum(v for (s, _), v in tiles.items() if s in (2, 4)) == 0
+    inside = geo.within_radius("lat", "lon", "slat", "slon", "radius")
+    plain = cells.crossJoin(sites.select("site_id", F.col("lat").alias("slat"), F.col("lon").alias("slon"), "radius")).filter(inside)
+    found = lookup.radius_join(cells, sites, GRID)
+    rows = lambda df: sorted(tuple(r) for r in df.select("site_id", "row", "col").collect())
+    assert rows(found) == rows(plain)
+    held = {(r.site_id, r.tile_id): r.n for r in plain.groupBy("site_id", "tile_id").agg(F.count("*").alias("n")).collect()}
+    assert all(held[k] == 400 for k, whole in tiles.items() if whole)
+    # At the edge of a circle the corners decide, whatever the radius.
+    many = spark.range(60).select(
+        F.col("id").alias("site_id"), (-1.0 - F.col("id") * 7 % 28).cast("double").alias("lat"),
+        (-59.0 + F.col("id") * 11 % 28).cast("double").alias("lon"), (200.0 + F.col("id") * 37).cast("double").alias("radius"),
+    )
+    wrong = lookup.covering_tiles(many, GRID).filter("all_in").withColumnsRenamed({"lat": "slat", "lon": "slon"})
+    assert wrong.count() > 50
+    assert wrong.join(cells, "tile_id").filter(~inside).count() == 0
+
+
+def test_a_second_ingest_reads_and_indexes_its_day_only(spark, tmp_path):
+    raw = full_days(spark, "2020-01-01", 3).select("source", F.col("date").alias("time"), "lat", "lon", F.col("value").alias("rdp"))
+    window = lambda a, b: spark.createDataFrame([("chirps", a, b)], "source string, start_date string, end_date string").select(
+        "source", F.col("start_date").cast("date").alias("start_date"), F.col("end_date").cast("date").alias("end_date"))
+    path, work, index = (str(tmp_path / x) for x in ("daily", "work", "index"))
+    run = lambda a, b: ingest.ingest_precipitation(raw, window(a, b), GRID, BOX, path, work, index)
+    run("2020-01-01", "2020-01-02")
+    first = {r.location for r in spark.read.parquet(index).collect()}
+    files = set(os.listdir(index))
+    run("2020-01-01", "2020-01-03")
+    after = spark.read.parquet(index).collect()
+    assert len(first) == 2 and len(after) == 3 and first < {r.location for r in after}
+    assert files - {"_SUCCESS"} <= set(os.listdir(index))  # what was there is not written again
+    run("2020-01-01", "2020-01-03")
+    assert spark.read.parquet(index).count() == 3
+
+
+def test_scenes_of_a_collection(spark):
+    from terracell.operators import scenes
+
+    rows = [(k, f"2024-01-0{k}", 5.0, (-50.0, -10.0, -49.0, -9.0), c) for k, c in enumerate(["s2", "s1", "modis", None], 1)]
+    df = spark.createDataFrame(rows, "scene_id int, ts string, cloud_cover double, bounds struct<west:double,south:double,east:double,north:double>, collection string")
+    ask = lambda c: sorted(r.scene_id for r in scenes.scene_search(df, BOX, "2024-01-01", "2024-01-31", 15.0, c).collect())
+    assert ask(None) == [1, 2, 3, 4] and ask("s2") == [1] and ask(("s2", "modis")) == [1, 3] and ask(()) == []
