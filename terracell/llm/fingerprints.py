@@ -28,7 +28,9 @@ LOW, HIGH = 1 / 2000, 1 / 10
 FAMILIES, LEVELS = 32, 3
 #: Texts with fewer lexicon terms also get a part over all their terms.
 FEW = 12
-MAX_LEXICON = 8_000_000
+#: A worker holds a hash and ``FAMILIES`` bytes for each term: 320 MB at most.
+MAX_LEXICON = 320_000_000 // (8 + FAMILIES)
+SLICE = 65_536
 
 # Terms are runs of letters and digits; other ASCII characters part them.
 _BREAKS = np.zeros(256, dtype=bool)
@@ -92,8 +94,12 @@ class Marker:
 
     @staticmethod
     def _depth(terms: np.ndarray) -> np.ndarray:
-        draws = mix(terms[:, None] ^ _SEEDS[None, :])
-        return (63 - np.floor(np.log2(np.maximum(draws, 1).astype(np.float64)))).clip(0, 63).astype(np.uint8)
+        """A byte for each term and family, drawn in slices: the draws themselves take 16 times as much."""
+        out = np.empty((len(terms), FAMILIES), np.uint8)
+        for at in range(0, len(terms), SLICE):
+            draws = mix(terms[at : at + SLICE, None] ^ _SEEDS[None, :])
+            out[at : at + SLICE] = (63 - np.floor(np.log2(np.maximum(draws, 1).astype(np.float64)))).clip(0, 63)
+        return out
 
     def fingerprint(self, own: np.ndarray) -> str:
         """Of a sorted distinct term set: parts ``kind level:hashes``; empty for no terms.

@@ -23,6 +23,7 @@ from terracell.llm.store import Scratch, checkpointed, columns, fresh, same_colu
 from terracell.llm.words import chunks, mix, shingle_hashes, text_bytes, word_hashes
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.99
+UNLIKE, MET = 0.2, 0.2  # pairs of this similarity should meet no more often
 LONG_SENTENCE, LONG_CUT = 16, 8  # beyond so many words a sentence is cut at one word in 8
 RUN_WORDS = 20  # words in a row that must repeat for a removal
 NO_ID = (1 << 63) - 1
@@ -32,9 +33,13 @@ _ENDS[[ord(c) for c in ".!?"]] = True
 
 
 def tuned_bands(similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[int, int]:
-    """(bands, values a band) with the fewest bands that find a pair of this similarity often enough."""
-    options = [(max(1, math.ceil(math.log(1 - recall) / math.log(1 - similarity**r))), r) for r in (1, 2, 3)]
-    return min(options)
+    """(bands, values a band) that find a pair of this similarity often enough.
+
+    The fewest bands in which a pair of similarity ``UNLIKE`` meets with a chance of at
+    most ``MET``: bands of one value are fewer still, but every other pair would be checked.
+    """
+    options = [(max(1, math.ceil(math.log(1 - recall) / math.log(1 - similarity**r))), r) for r in range(1, 6)]
+    return min((b, r) for b, r in options if 1 - (1 - UNLIKE**r) ** b <= MET)
 
 
 class Paragraphs:
