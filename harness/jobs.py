@@ -18,15 +18,18 @@ from harness.tables import (
     sql_cube,
     sql_raw,
     bands,
+    SQL_GRANULES,
     SQL_SITES,
+    SQL_SPINE,
+    windows,
 )
 from terracell.functions import geo, values
 from terracell.operators import append, calendar, conform, filters
 from terracell.plans import ingest, vegetation
-from terracell.schema import STUDY_AREA, BBox
+from terracell.schema import ERA5_LAG_DAYS, STUDY_AREA, BBox
 from terracell.session import shared_dir
 from terracell.sources import archive as store
-from terracell.streaming import cell_stream, stream_append, stream_exceedances
+from terracell.streaming import cell_stream, overdue_days, stream_append, stream_exceedances, track_gaps
 
 BOX = BBox(west=-70.1, south=-30.3, east=-40.2, north=2.9)
 _IN = "lat BETWEEN {s} AND {n} AND lon BETWEEN {w} AND {e}"
@@ -244,3 +247,30 @@ def exceedance_stream(spark, sf_dir):
     )
     run.awaitTermination()
     return out(spark.read.parquet(path).select("site_id", "source", "date", "value"))
+
+
+@query(
+    "stream_gaps",
+    f"""SELECT w.source, CAST(w.d AS VARCHAR) AS date FROM ({SQL_SPINE}) w
+        LEFT JOIN ({SQL_GRANULES}) g ON g.source = w.source AND g.d = w.d
+        WHERE g.d IS NULL AND CAST(w.d + {ERA5_LAG_DAYS} AS TIMESTAMP)
+          < (SELECT max(CAST(o_orderdate AS TIMESTAMP) + to_days(CAST(o_orderkey % 11 AS INTEGER))) FROM orders)""",
+)
+def gap_stream(spark, sf_dir):
+    """Orders as files that arrive up to ten days late, in two runs of one stream: days of
+    the first that were overdue and came in the second are taken back."""
+    inbox, changes, check = (shared_dir(spark, n) for n in ("gap-in", "gap-out", "check"))
+    key = F.col("o_orderkey")
+    arrivals = read(spark, sf_dir, "orders").select(
+        F.when(key % 2 == 0, "chirps").otherwise("merge").alias("source"),
+        F.col("o_orderdate").cast("date").alias("date"),
+        (F.col("o_orderdate").cast("timestamp_ntz") + F.make_dt_interval(days=(key % 11).cast("int"))).alias("arrived_at"),
+    )
+    wanted = windows(spark, sf_dir).withColumn("lag_days", F.lit(ERA5_LAG_DAYS))
+    first = F.col("arrived_at") < F.lit("1998-01-01").cast("timestamp_ntz")
+    for part in (arrivals.filter(first), arrivals.filter(~first)):
+        part.write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(arrivals.schema).parquet(inbox)
+        track_gaps(stream, wanted, changes, check).awaitTermination()
+    written = spark.read.schema("source string, date date, change int").parquet(changes)
+    return out(overdue_days(written))
