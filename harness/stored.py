@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from harness.points import SQL_AREA_POINTS
@@ -37,6 +39,16 @@ def area_triggers_by_extrema(spark, sf_dir):
     return out(hits.drop("tile_id"))
 
 
+@query("area_triggers_in_place", SQL_AREA_POINTS)
+def area_triggers_in_place(spark, sf_dir):
+    """Area requests that move to an archive bucketed by what they are joined on."""
+    path = shared_dir(spark, "bucketed")
+    table = os.path.basename(path).replace("-", "_")
+    cells = cube(spark, sf_dir, by_source=True, missing=True)
+    store.write_archive_table(cells, table, 16, keys=store.REQUEST_KEYS, path=path)
+    return out(areas.area_triggers(spark.table(table), point_requests(spark, sf_dir), GRID).drop("tile_id"))
+
+
 @query(
     "tile_day_extrema",
     f"""SELECT source, CAST(year(d) AS BIGINT) AS year, CAST((r // 20) * 5 + c // 20 AS BIGINT) AS tile_id,

@@ -19,6 +19,8 @@ from terracell.sources.tiledays import refresh_tile_days
 # many sources, years and tiles there are.
 ROWS_PER_FILE = 6_000_000
 DAYS_OF_YEAR = 366
+# What requests with a source and a period are joined to cells on.
+REQUEST_KEYS = ("source", "year", "tile_id")
 
 
 def scan_archive(spark: SparkSession, path: str, source: str | None = None) -> DataFrame:
@@ -151,17 +153,23 @@ def _listed(spark: SparkSession, path: str) -> list[str]:
     return [str(s.getPath().toString()) for s in fs.listStatus(place)] if fs.exists(place) else []
 
 
-def write_archive_table(cells: DataFrame, table: str, buckets: int, mode: str = "overwrite") -> None:
-    """The archive as a catalog table bucketed by tile: joins on ``tile_id`` (radius
-    requests of many sites) then read both sides in place."""
+def write_archive_table(
+    cells: DataFrame, table: str, buckets: int, mode: str = "overwrite", keys=("tile_id",), path: str | None = None
+) -> None:
+    """The archive as a catalog table bucketed by ``keys``: joins on them read it in place.
+
+    With the keys ``REQUEST_KEYS`` a table of area or point requests is moved to the
+    cells, which are neither shuffled nor, one file a bucket, sorted again.  A bucket
+    holds tiles of all years and sources, so a source with much of the data is spread
+    over all of them.  ``path`` places the files; the catalog's warehouse has them else.
+    """
+    keys = list(keys)
     rows = cells.select(*[F.col(f.name).cast(f.dataType) for f in ARCHIVE_SCHEMA])
-    (
-        rows.repartition(buckets, "tile_id")
-        .write.mode(mode)
-        .bucketBy(buckets, "tile_id")
-        .sortBy("tile_id", "date")
-        .saveAsTable(table)
-    )
+    order = [*keys, *[c for c in ("tile_id", "date") if c not in keys]]
+    writer = rows.repartition(buckets, *keys).write.mode(mode).bucketBy(buckets, *keys).sortBy(*order)
+    if path:
+        writer = writer.option("path", path)
+    writer.saveAsTable(table)
 
 
 def write_daily(cells: DataFrame, path: str) -> None:

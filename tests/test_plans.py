@@ -98,3 +98,42 @@ def test_accumulation_of_one_source(spark):
         rows, "source string, date string, row int, col int, lat double, lon double, value float"
     ).selectExpr("source", "cast(date as date) date", "2001 year", "row", "col", "lat", "lon", "value")
     assert [r.total for r in accumulation.event_accumulation(cells, ["2001-01-01"], source="a").collect()] == [1.0]
+
+
+def _archive_side(plan: str, table: str) -> str:
+    """Operators between the scan of a table and the join above it, from the plan as text."""
+    lines = plan.split("== Initial Plan ==")[0].splitlines()
+    scan = next(k for k, line in enumerate(lines) if "FileScan parquet" in line and table in line)
+    join = max(k for k, line in enumerate(lines[:scan]) if "SortMergeJoin" in line)
+    depth = lambda line: next(i for i, c in enumerate(line) if c.isalpha())
+    chain, level = [], depth(lines[scan]) + 1
+    for line in reversed(lines[join + 1 : scan + 1]):
+        if depth(line) < level:
+            chain.append(line)
+            level = depth(line)
+    return "\n".join(chain)
+
+
+@pytest.mark.parametrize("bucketed", [True, False])
+def test_many_requests_move_to_the_bucketed_archive(spark, plan_of, tmp_path, bucketed):
+    cells = days_of_cells(spark, "2019-12-30", 4).unionByName(days_of_cells(spark, "2019-12-30", 4, 2.0, "merge"))
+    table = f"requests_in_place_{bucketed}".lower()
+    path = str(tmp_path / table)
+    if bucketed:
+        store.write_archive_table(cells, table, 6, keys=store.REQUEST_KEYS, path=path)
+    else:
+        cells.write.option("path", path).saveAsTable(table)
+    requests = _sites(spark, 30).withColumnRenamed("site_id", "request_id").withColumn("trigger", F.lit(0.5))
+    requests = requests.withColumns({"start_date": F.lit("2019-12-31"), "end_date": F.lit("2020-01-02"),
+                                     "source": F.when(F.col("request_id") % 3 == 0, "merge").otherwise("chirps")})
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = areas.area_triggers(spark.table(table), requests, GRID, as_of="2020-02-01")
+        side = _archive_side(plan_of(found), table)
+        assert ("Exchange" in side) is not bucketed, side
+        direct = areas.area_triggers(cells, requests, GRID, as_of="2020-02-01")
+        rows = lambda df: sorted(tuple(r) for r in df.select("request_id", "date", "latitude", "longitude").collect())
+        assert rows(found) == rows(direct) != []
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql(f"DROP TABLE {table}")
