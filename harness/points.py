@@ -251,14 +251,8 @@ def pixel_value(spark, sf_dir):
 )
 def radius_join(spark, sf_dir):
     wide = sites(spark, sf_dir).withColumn("radius", F.lit(150.0))
-    near = lookup.radius_join(cube(spark, sf_dir), wide, GRID)
-    return out(
-        near.groupBy("site_id").agg(
-            F.count("*").alias("n_cells"),
-            F.count("value").alias("n_values"),
-            F.sum(F.col("value").cast("double")).alias("total"),
-        )
-    )
+    near = lookup.radius_join(aggregates.place_totals(cube(spark, sf_dir)), wide, GRID)
+    return out(aggregates.site_totals(near))
 
 
 @query(

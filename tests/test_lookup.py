@@ -168,3 +168,21 @@ def test_requests_without_trigger_or_radius(spark):
 
     checked = check_area_requests(asked).orderBy("request_id")
     assert [r.status for r in checked.collect()] == ["ok", "missing_trigger", "missing_radius"]
+
+
+def test_sites_meet_places_not_days(spark):
+    """Rows that reach the join don't grow with the days; places that miss values add up as their cells do."""
+    from terracell.operators import aggregates
+
+    cells = grid_cells(spark, UP, days=3).withColumn("value", F.when(F.col("row") % 5 != 1, F.col("value")))
+    table = spark.createDataFrame([(i, -3.0 - i, -56.0, 190.0) for i in range(4)], "site_id int, lat double, lon double, radius double")
+    plain = lookup.radius_join(cells, table, UP)
+    want = plain.groupBy("site_id").agg(F.count("*"), F.count("value"), F.sum(F.col("value").cast("double"))).collect()
+    places = aggregates.place_totals(cells.withColumn("tile_id", geo.tile_id("row", "col", UP)))
+    got = aggregates.site_totals(lookup.radius_join(places, table, UP)).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(want) == 4
+    assert places.count() == UP.n_rows * UP.n_cols
+    # The join itself lies below the days.
+    plan = plain._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate inline") < plan.index("Join Inner")
+    assert set(plain.columns) == {*cells.columns, "tile_id", "site_id", "site_lat", "site_lon", "radius"}
