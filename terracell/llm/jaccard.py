@@ -10,8 +10,8 @@ again under further partitions, until one has enough of them.  Of two similar se
 that stops first has enough segments in a partition that both have, so no pair is lost.
 
 What shares an index row is verified exactly: first against the smallest set of the row,
-which settles groups of copies in one pass, then, where sets that shared rows connect are
-still apart, in tiles of bounded size.
+which settles groups of copies in one pass, then, where sets of a row are still apart, pair
+by pair in rows of few sets and in tiles of bounded size in the others.
 """
 
 from __future__ import annotations
@@ -35,6 +35,10 @@ PERCENT = 80
 BAND_RATIO = 1.6
 LEAST_SEGMENT, SPARE = 2.0, 1.12
 STAR, TILE = 512, 512
+#: Pairs under keys of so many sets are listed; larger keys are taken in tiles.
+FEW = 32
+#: Places of a set's parities.
+MARKS = 2048
 MAX_SEEN = 500_000
 
 _ONE = np.uint64(0x9E3779B97F4A7C15)
@@ -265,6 +269,44 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int((a[at] == b).sum())
 
 
+def parities(sets: DataFrame) -> DataFrame:
+    """(node, n, marks): size of each set and, for each of ``MARKS`` places its shingles hash to, whether their number is odd."""
+
+    def run(batches):
+        for batch in batches:
+            found = [np.frombuffer(s, np.uint64) for s in batch.column("shingles").to_pylist()]
+            marks = []
+            for own in found:
+                place = (mix(own ^ np.uint64(5)) % np.uint64(MARKS)).astype(np.int64)
+                marks.append(np.packbits(np.bincount(place, minlength=MARKS).astype(np.uint8) & 1).tobytes())
+            n = pa.array([len(s) for s in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), n, pa.array(marks, pa.binary())], ["node", "n", "marks"])
+
+    return sets.select("node", "shingles").mapInArrow(run, "node long, n long, marks binary")
+
+
+def sifted(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The pairs (hub, member) that may be similar by their ``parities``.
+
+    A shingle that only one of two sets has turns one mark, so the marks that differ are
+    never more than the shingles that do: no similar pair is lost, and of the others
+    few move their sets.
+    """
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, MARKS // 8) for c in ("_a", "_b"))
+            sizes = batch.column("_n").to_numpy() + batch.column("n").to_numpy()
+            near = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= most_apart(sizes, 0)
+            yield batch.select(["hub", "member"]).filter(pa.array(near))
+
+    a = marks.select(F.col("node").alias("hub"), F.col("n").alias("_n"), F.col("marks").alias("_a"))
+    b = marks.select(F.col("node").alias("member"), "n", F.col("marks").alias("_b"))
+    return pairs.join(a, "hub").join(b, "member").select("hub", "member", "_n", "n", "_a", "_b").mapInArrow(run, "hub long, member long")
+
+
 def _star(table: pa.Table) -> pa.Table:
     """Links between the first set of a group and the others."""
     member = table.column("member").to_pylist()
@@ -319,12 +361,41 @@ def _tile(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(node[parent[tied]]), pa.array(node[tied])], names=["a", "b"])
 
 
-def _unsettled(shared: DataFrame, joined: DataFrame) -> DataFrame:
+def open_rows(shared: DataFrame, joined: DataFrame) -> DataFrame:
+    """(key, node, size, component, n, least) of the sets whose pairs under a shared key are not all settled.
+
+    The star of a key has compared its hub with all others, so a key is open where its ``n``
+    other sets lie in several components; ``least`` is the smallest of them.  Keys that are
+    not open have nothing left to find.
+    """
+    of = Window.partitionBy("key")
+    others = shared.where(F.col("hub.node") != F.col("node")).select("key", "node", "size").distinct()
+    others = others.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    ends = {"low": F.min("component").over(of), "high": F.max("component").over(of)}
+    ends |= {"least": F.min("node").over(of), "n": F.count("*").over(of)}
+    return others.withColumns(ends).where("low != high").select("key", "node", "size", "component", "n", "least")
+
+
+def open_pairs(rows: DataFrame) -> DataFrame:
+    """Distinct pairs (hub, member) of ``open_rows`` under keys of few sets, in different components.
+
+    Pairs under such keys grow with the index rows; the families that these keys tie
+    together would hold more and more of a growing table, and tiles of a family grow with its square.
+    """
+    few = rows.where(F.col("n") <= FEW)
+    a = few.select("key", *[F.col(c).alias(f"_{c}") for c in ("node", "size", "component")])
+    pairs = a.join(few, "key").where((F.col("_node") < F.col("node")) & (F.col("_component") != F.col("component")))
+    least, most = F.least("_size", "size"), F.greatest("_size", "size")
+    return pairs.where(similar(least, least, most)).select(F.col("_node").alias("hub"), F.col("node").alias("member")).distinct()
+
+
+def _unsettled(rows: DataFrame, joined: DataFrame) -> DataFrame:
     """(family, node, component, n) of the families that still hold several components.
 
-    A family is what shared keys connect, so every pair that could be similar lies in one.
+    A family is what open keys of many sets connect, so every pair under them lies in one.
     """
-    families = components(shared.select(F.col("hub.node").alias("a"), F.col("node").alias("b")))
+    many = rows.where(F.col("n") > FEW)
+    families = components(many.select(F.col("least").alias("a"), F.col("node").alias("b")))
     labelled = checkpointed(
         families.withColumnRenamed("component", "family")
         .join(joined, "node", "left")
@@ -333,7 +404,7 @@ def _unsettled(shared: DataFrame, joined: DataFrame) -> DataFrame:
     open_ = labelled.groupBy("family").agg(
         F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")
     )
-    return labelled.join(open_.where("low != high AND n > 2").select("family", "n"), "family")
+    return labelled.join(open_.where("low != high").select("family", "n"), "family")
 
 
 def verified_tiles(groups: DataFrame, sets: DataFrame) -> DataFrame:
@@ -362,11 +433,17 @@ def labelled_rows(docs: DataFrame) -> DataFrame:
             .select(F.col("hub.node").alias("hub"), F.col("node").alias("member"))
             .distinct()
         )
-        links = checkpointed(verified_stars(pairs, sets))
-        more = checkpointed(verified_tiles(_unsettled(shared, components(links)), sets))
+        marks = written(parities(sets), "parities")
+        links = checkpointed(verified_stars(sifted(pairs, marks), sets))
+        joined = components(links)
+        rows = written(open_rows(shared, joined), "open-keys")
         free(shared)
+        few = checkpointed(verified_stars(sifted(open_pairs(rows), marks), sets))
+        free(marks)
+        many = checkpointed(verified_tiles(_unsettled(rows, joined), sets))
+        free(rows)
         free(sets)
-        joined = components(links.union(more))
+        joined = components(links.union(few).union(many))
         labelled = named.join(joined, "node", "left").select(
             "doc_id", "row", "n_shingles", F.coalesce("component", "node").alias("component")
         )

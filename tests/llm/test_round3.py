@@ -271,3 +271,35 @@ def test_special_strings_are_encoded_as_the_library_does():
     for text in ("hello <|endoftext|> there", "<|endoftext|>", "a<|endoftext|><|endoftext|> b\n", "<|endoftext|", "no such string"):
         ids = np.frombuffer(packing.encoder(path).encode(text), "<u2").tolist()
         assert ids == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_keys_of_few_sets_tie_no_family(spark):
+    """A chain of unlike sets, three to a key, is one family of all; listed pairs keep it in pairs."""
+    from terracell.llm import jaccard
+
+    n = 60
+    rows = [(k, k + j, 10, (10, k)) for k in range(n) for j in range(3)]
+    shared = spark.createDataFrame(rows, "key long, node long, size long, hub struct<size long, node long>")
+    joined = spark.createDataFrame([], "node long, component long")
+    found = jaccard.open_rows(shared, joined)
+    pairs = {(r.hub, r.member) for r in jaccard.open_pairs(found).collect()}
+    assert pairs == {(k + 1, k + 2) for k in range(n)}  # the star of k has compared k with both
+    assert jaccard._unsettled(found, joined).count() == 0
+    settled = spark.createDataFrame([(k, 0) for k in range(n + 2)], "node long, component long")
+    assert jaccard.open_rows(shared, settled).count() == 0
+
+
+def test_parities_lose_no_similar_pair(spark):
+    from terracell.llm import jaccard
+
+    rng, sets = np.random.default_rng(3), []
+    for k in range(40):
+        own = rng.integers(0, 1 << 63, 30 + 20 * k, dtype=np.uint64)
+        gone = (100 - jaccard.PERCENT) * len(own) // 100  # as many as a similar set may lack
+        sets += [np.unique(own), np.unique(own[gone:]), np.unique(np.append(own[len(own) // 2 :], rng.integers(0, 1 << 63, len(own) // 2, dtype=np.uint64)))]
+    table = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "node long, shingles binary")
+    pairs = [(i, i + j) for i in range(0, len(sets), 3) for j in (1, 2)]
+    marks = jaccard.parities(table)
+    kept = {tuple(r) for r in jaccard.sifted(spark.createDataFrame(pairs, "hub long, member long"), marks).collect()}
+    alike = {(a, b) for a, b in pairs if jaccard.similar(len(np.intersect1d(sets[a], sets[b])), len(sets[a]), len(sets[b]))}
+    assert kept == alike and len(alike) == 40
