@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from terracell.functions.geo import _col
 from terracell.functions.values import missing_if_nan
 from terracell.schema import Grid
 
+MOST_WAYS = 64  # times as many tasks, however fine the grid
+
 
 def axis_size(low, high, resolution: float, max_pixels: int | None = None) -> Column:
     """Number of grid lines: whole steps in the range, at most ``max_pixels`` where asked."""
@@ -48,6 +52,10 @@ def bilinear_resample(
     Turned round: each pixel is handed to the grid cells it has weight in, and a
     cell's value is the weighted mean of what it got.  That is one aggregation and no
     join, and missing neighbours are left out of both sums.
+
+    Pixels are spelled out along rows, dealt by row over as many more tasks as they
+    become cells, and only there spelled out along columns: a task holds the cells of
+    its rows, and nothing is moved again.
     """
     keys = list(keys)
 
@@ -63,18 +71,29 @@ def bilinear_resample(
         gap = F.abs(F.col(coord) - (F.lit(start) + F.lit(step) * F.col(idx)))
         return F.lit(1.0) - gap / F.lit(res)
 
+    def ways(res, step):
+        """Grid lines within reach of a pixel, at most."""
+        return max(1, math.ceil(2 * res / abs(step)))
+
     g = grid
-    near = (
+    tasks = int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks *= min(MOST_WAYS, ways(res_lat, g.dlat) * ways(res_lon, g.dlon))
+    along = (
         pixels.withColumn("value", missing_if_nan("value"))
         .filter(F.col("value").isNotNull())
         .withColumn("_i", reach("lat", float(res_lat), g.lat0, g.dlat, g.n_rows))
-        .withColumn("_j", reach("lon", float(res_lon), g.lon0, g.dlon, g.n_cols))
         .withColumn("_wi", weight("lat", "_i", float(res_lat), g.lat0, g.dlat))
+        .filter(F.col("_wi") > 0)
+        .select(*keys, "lon", "value", F.col("_i").cast("int").alias("_i"), "_wi")
+    )
+    near = (
+        along.repartition(tasks, *keys, "_i")
+        .withColumn("_j", reach("lon", float(res_lon), g.lon0, g.dlon, g.n_cols))
         .withColumn("_wj", weight("lon", "_j", float(res_lon), g.lon0, g.dlon))
-        .filter((F.col("_wi") > 0) & (F.col("_wj") > 0))
+        .filter(F.col("_wj") > 0)
         .withColumn("_w", F.col("_wi") * F.col("_wj"))
     )
     mean = F.sum(F.col("_w") * F.col("value").cast("double")) / F.sum("_w")
     return near.groupBy(
-        *keys, F.col("_i").cast("int").alias("row"), F.col("_j").cast("int").alias("col")
+        *keys, F.col("_i").alias("row"), F.col("_j").cast("int").alias("col")
     ).agg(mean.cast("float").alias("value"))

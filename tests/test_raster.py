@@ -98,6 +98,15 @@ def test_bilinear_matches_the_formula(spark):
                 assert np.isclose(got[(i, j)], num / den, rtol=1e-5)
 
 
+def test_resampled_cells_are_not_moved(spark, plan_of):
+    """Pixels are shuffled along rows only, over more tasks than there are partitions, and their cells never."""
+    df = spark.range(10).selectExpr("id % 2 AS scene_id", "10D - id AS lat", "20D AS lon", "CAST(id AS FLOAT) AS value")
+    grid = Grid(lat0=10.0, lon0=20.0, dlat=-0.5, dlon=0.5, n_rows=20, n_cols=20)
+    plan = plan_of(resample.bilinear_resample(df, grid, 1.0, 1.0))
+    tasks = 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert plan.count("Exchange") == 1 and f", {tasks}), REPARTITION_BY_NUM" in plan
+
+
 def test_grid_axes(spark):
     area = "named_struct('west', 0D, 'south', 0D, 'east', 1D, 'north', 0.55D)"
     df = spark.sql(f"SELECT 1 AS id, {area} AS area")
