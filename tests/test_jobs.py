@@ -111,6 +111,25 @@ def test_ingest_temperature_fills_each_target(spark, tmp_path):
     assert abs(cells.first().value - 26.85) < 1e-4
 
 
+def test_ingest_temperature_reads_the_raster_once(spark, tmp_path):
+    """Both targets come from one pass over the raw rows, and nothing of it is left in the work folder."""
+    seen = spark.sparkContext.accumulator(0)
+    raw = days_of_cells(spark, "2021-03-01", 3, 300.0, "temp_max").select(
+        "source", F.col("date").cast("timestamp_ntz").alias("valid_time"), "lat", "lon", F.col("value").alias("t2m"))
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    daily, kept, work = (str(tmp_path / n) for n in ("daily", "archive", "work"))
+    ingest.ingest_temperature(
+        raw.mapInArrow(counted, raw.schema), windows(spark, "2021-03-01", "2021-03-03", "temp_max"), "2m_temperature",
+        GRID, BOX, daily, kept, work)
+    assert seen.value == 3 * 2500
+    assert store.scan_archive(spark, kept).count() == 3 * 41 * 41 and "cells" not in os.listdir(work)
+
+
 def test_stream_completes_days_and_survives_a_lost_checkpoint(spark, tmp_path):
     inbox, path = str(tmp_path / "in"), str(tmp_path / "archive")
     full = days_of_cells(spark, "2021-05-01", 2)
