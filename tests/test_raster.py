@@ -132,6 +132,34 @@ def test_overlap_pairs_once_each_and_touching_is_not_overlap(spark):
     assert sorted(got) == sorted(want) and (40, 30) not in got
 
 
+@pytest.mark.parametrize("n_scenes, n_areas", [(600, 20), (20, 600)])
+def test_overlap_pairs_of_a_hot_square_are_spread_over_tasks(spark, monkeypatch, n_scenes, n_areas):
+    """All boxes in a few squares, and all rows in one file: no task holds most of the pairs."""
+    monkeypatch.setattr(scenes, "MOST_PAIRS", 1000, raising=False)
+    rng = random.Random(4)
+    shape = "struct<west:double,south:double,east:double,north:double>"
+
+    def table(n, key, box):
+        rows = [(i, (w, s, w + 1.0, s + 1.0)) for i, w, s in ((i, rng.uniform(-9.4, -9), rng.uniform(4, 4.4)) for i in range(n))]
+        rows.append((n, (-9.0, 4.0, float("nan"), 5.0)))  # NaN is east of all
+        return spark.createDataFrame(rows + rows[:2], f"{key} int, {box} {shape}").coalesce(1)
+
+    a, b = table(n_scenes, "scene_id", "bounds"), table(n_areas, "area_id", "area")
+    task = F.spark_partition_id().alias("task")
+    got = scenes.scene_overlap(a, b).groupBy(task).agg(F.count("*").alias("n"), F.min("scene_id"), F.max("area_id")).collect()
+    total = (n_scenes + 3) * (n_areas + 3)
+    assert sum(r.n for r in got) == total and len(got) > 3 and max(r.n for r in got) < total / 2
+
+
+def test_overlap_pairs_meet_in_one_square(spark):
+    """Boxes over many squares; before, a pair was compared in each square that both touch."""
+    box = "struct(cast(id % 7 - 3.5 as double) as west, id % 5 - 2.25D as south, id % 7 + 0.5D as east, id % 5 + 1.75D as north)"
+    a = scenes._squares(spark.range(40).selectExpr("id as scene_id", f"{box} as bounds"), "bounds", 1.0, True)
+    b = scenes._squares(spark.range(30).selectExpr("id as area_id", f"{box} as area"), "area", 1.0, False)
+    met = a.join(b, ["_x", "_y"]).select("scene_id", "area_id")
+    assert met.count() == met.distinct().count() >= 900
+
+
 def test_map_window_ties_go_to_the_smaller_row(spark):
     grid = Grid(lat0=0.5, lon0=0.5, dlat=1.0, dlon=1.0, n_rows=2, n_cols=2)
     df = cells(spark, [("a", "2020-01-01", r, c, float(r * 2 + c)) for r in range(2) for c in range(2)])
