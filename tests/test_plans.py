@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tests.test_jobs import BOX, GRID, days_of_cells
 from terracell.operators import aggregates, filters, lookup, raster
 from terracell.plans import areas, points
-from terracell.sources import archive as store
+from terracell.sources import archive as store, tiledays
 
 
 @pytest.fixture(scope="module")
@@ -57,6 +57,37 @@ def test_site_joins_are_equi_joins(spark, archive, plan_of, threshold):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_many_spelled_out_requests_are_not_broadcast(spark, archive, plan_of):
+    """Spark sees 60,000 rows of a range, not the tiles that they are spelled out on."""
+    sites = _sites(spark, 60_000).withColumns({"radius": F.lit(900.0), "trigger": F.lit(0.5), "request_id": F.col("site_id")})
+    few = lookup.radius_join(archive, sites.limit(2), GRID)
+    assert "BroadcastHashJoin" in plan_of(few)
+    assert "BroadcastExchange" not in plan_of(lookup.radius_join(archive, sites, GRID))
+    summary = tiledays.tile_days(archive)
+    periods = sites.withColumn("trigger", F.col("site_id") / 120_000)  # one period: a tile meets its lowest trigger
+    hot = areas.hot_tile_days(summary, periods, GRID)
+    own = areas.hot_tile_days(summary, periods.filter("site_id < 10"), GRID)
+    assert sorted(hot.collect()) == sorted(own.collect()) and hot.count() > 0
+    rows = _join_rows(hot)
+    assert rows and max(rows) <= summary.count()
+
+
+def _join_rows(df):
+    """Rows out of each join of a run that ends here."""
+    df.collect()
+    plan, rows = df._jdf.queryExecution().executedPlan().finalPhysicalPlan(), []
+
+    def walk(node):
+        if "Join" in node.nodeName():
+            rows.append(node.metrics().apply("numOutputRows").value())
+        inner = [node.plan()] if "QueryStage" in node.nodeName() else [node.children().apply(i) for i in range(node.children().size())]
+        for child in inner:
+            walk(child)
+
+    walk(plan)
+    return rows
+
+
 def test_site_years_prune_the_archive_at_run_time(spark, archive, plan_of, tmp_path):
     _sites(spark, 10).write.parquet(str(tmp_path / "sites"))
     sites = spark.read.parquet(str(tmp_path / "sites"))
