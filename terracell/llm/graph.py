@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from terracell.llm.store import checkpointed, free
+from terracell.llm.store import checkpointed, free, shuffled
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -40,7 +40,7 @@ def _kept(edges: DataFrame):
 def _tied(pairs: DataFrame, larger: bool) -> DataFrame:
     """Edges (hi, lo) that tie the neighbours v of u to the smallest of them and u."""
     least = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    joined = pairs.join(least, "u")
+    joined = pairs.join(shuffled(least), "u")
     if larger:
         tied = joined.where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
     else:

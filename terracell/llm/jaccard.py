@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from terracell.llm.graph import components
 from terracell.llm.registry import query, read
-from terracell.llm.store import Scratch, checkpointed, columns, free, fresh, same_columns, written
+from terracell.llm.store import Scratch, checkpointed, columns, free, fresh, same_columns, shuffled, written
 from terracell.llm.vectors import _merge
 from terracell.llm.words import chunks, mix, shingle_sets
 
@@ -227,7 +227,7 @@ def shared_rows(index: DataFrame) -> DataFrame:
             .where(F.col("n") >= F.col("info").bitwiseAND((1 << 31) - 1))
             .select("node", "info")
         )
-        old, rows = rows, written(kept(rows.join(enough, ["node", "info"])), "shared-keys")
+        old, rows = rows, written(kept(rows.join(shuffled(enough), ["node", "info"])), "shared-keys")
         free(old)
     sized = rows.select("key", "node", F.shiftright("info", 32).alias("size"))
     return sized.withColumn("hub", F.min(F.struct("size", "node")).over(of))
@@ -256,8 +256,9 @@ def _shingled(texts: DataFrame) -> DataFrame:
 def needed_sets(docs: DataFrame, named: DataFrame, needed: DataFrame) -> DataFrame:
     """(node, shingles) of the nodes in ``needed``, each once."""
     texts = columns(docs, doc_id="long", text="string")
+    needed = shuffled(needed)
     first = named.where("doc_id IS NOT NULL").join(needed, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    with_id = texts.join(first, "doc_id").select("node", "text")
+    with_id = texts.join(shuffled(first), "doc_id").select("node", "text")
     # Rows without an id can't be asked for by it.
     without = texts.where("doc_id IS NULL").select(F.lit(None).cast("long").alias("node"), "text")
     return _shingled(with_id.union(without)).join(needed, "node", "left_semi").dropDuplicates(["node"])
@@ -304,7 +305,8 @@ def sifted(pairs: DataFrame, marks: DataFrame) -> DataFrame:
 
     a = marks.select(F.col("node").alias("hub"), F.col("n").alias("_n"), F.col("marks").alias("_a"))
     b = marks.select(F.col("node").alias("member"), "n", F.col("marks").alias("_b"))
-    return pairs.join(a, "hub").join(b, "member").select("hub", "member", "_n", "n", "_a", "_b").mapInArrow(run, "hub long, member long")
+    met = pairs.join(shuffled(a), "hub").join(shuffled(b), "member")
+    return met.select("hub", "member", "_n", "n", "_a", "_b").mapInArrow(run, "hub long, member long")
 
 
 def _star(table: pa.Table) -> pa.Table:
@@ -319,8 +321,8 @@ def _star(table: pa.Table) -> pa.Table:
 def verified_stars(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) among distinct pairs (hub, member); a hub with many members is dealt to many tasks."""
     many = pairs.groupBy("hub").agg(F.ceil(F.count("*") / STAR).cast("int").alias("parts"))
-    dealt = pairs.join(many, "hub").select("hub", "member", F.pmod(F.xxhash64("member"), F.col("parts")).alias("part"))
-    dealt = checkpointed(dealt)
+    dealt = pairs.join(shuffled(many), "hub").select("hub", "member", F.pmod(F.xxhash64("member"), F.col("parts")).alias("part"))
+    dealt, sets = checkpointed(dealt), shuffled(sets)
     members = dealt.join(sets, dealt.member == sets.node).select("hub", "part", "member", "shingles")
     heads = dealt.select("hub", "part").distinct()
     hubs = heads.join(sets, heads.hub == sets.node).select("hub", "part", F.lit(None).cast("long").alias("member"), "shingles")
@@ -370,7 +372,7 @@ def open_rows(shared: DataFrame, joined: DataFrame) -> DataFrame:
     """
     of = Window.partitionBy("key")
     others = shared.where(F.col("hub.node") != F.col("node")).select("key", "node", "size").distinct()
-    others = others.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    others = others.join(shuffled(joined), "node", "left").withColumn("component", F.coalesce("component", "node"))
     ends = {"low": F.min("component").over(of), "high": F.max("component").over(of)}
     ends |= {"least": F.min("node").over(of), "n": F.count("*").over(of)}
     return others.withColumns(ends).where("low != high").select("key", "node", "size", "component", "n", "least")
@@ -384,7 +386,7 @@ def open_pairs(rows: DataFrame) -> DataFrame:
     """
     few = rows.where(F.col("n") <= FEW)
     a = few.select("key", *[F.col(c).alias(f"_{c}") for c in ("node", "size", "component")])
-    pairs = a.join(few, "key").where((F.col("_node") < F.col("node")) & (F.col("_component") != F.col("component")))
+    pairs = a.join(shuffled(few), "key").where((F.col("_node") < F.col("node")) & (F.col("_component") != F.col("component")))
     least, most = F.least("_size", "size"), F.greatest("_size", "size")
     return pairs.where(similar(least, least, most)).select(F.col("_node").alias("hub"), F.col("node").alias("member")).distinct()
 
@@ -398,13 +400,13 @@ def _unsettled(rows: DataFrame, joined: DataFrame) -> DataFrame:
     families = components(many.select(F.col("least").alias("a"), F.col("node").alias("b")))
     labelled = checkpointed(
         families.withColumnRenamed("component", "family")
-        .join(joined, "node", "left")
+        .join(shuffled(joined), "node", "left")
         .select("family", "node", F.coalesce("component", "node").alias("component"))
     )
     open_ = labelled.groupBy("family").agg(
         F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")
     )
-    return labelled.join(open_.where("low != high").select("family", "n"), "family")
+    return labelled.join(shuffled(open_.where("low != high").select("family", "n")), "family")
 
 
 def verified_tiles(groups: DataFrame, sets: DataFrame) -> DataFrame:
@@ -416,7 +418,7 @@ def verified_tiles(groups: DataFrame, sets: DataFrame) -> DataFrame:
         "family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
         (F.col("own") <= F.col("other")).alias("first"), "node", "component",
     )
-    return tiles.join(sets, "node").groupBy("family", "i", "j").applyInArrow(lambda t: _tile(t), "a long, b long")
+    return tiles.join(shuffled(sets), "node").groupBy("family", "i", "j").applyInArrow(lambda t: _tile(t), "a long, b long")
 
 
 def labelled_rows(docs: DataFrame) -> DataFrame:
@@ -444,7 +446,7 @@ def labelled_rows(docs: DataFrame) -> DataFrame:
         free(rows)
         free(sets)
         joined = components(links.union(few).union(many))
-        labelled = named.join(joined, "node", "left").select(
+        labelled = named.join(shuffled(joined), "node", "left").select(
             "doc_id", "row", "n_shingles", F.coalesce("component", "node").alias("component")
         )
         return scratch.keep(written(labelled, "labelled"))
@@ -463,7 +465,7 @@ def join_documents(docs: DataFrame) -> DataFrame:
     """
     labelled = labelled_rows(docs)
     lowest = labelled.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("lowest"))
-    return labelled.join(lowest, "component", "left").select(
+    return labelled.join(shuffled(lowest), "component", "left").select(
         "doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("lowest")).alias("component_id")
     )
 
@@ -479,7 +481,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     labelled = labelled_rows(docs).where("component IS NOT NULL")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
     first = labelled.groupBy("component").agg(F.min(place).alias("first"))
-    later = labelled.join(first, "component").where(
+    later = labelled.join(shuffled(first), "component").where(
         ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row") == F.col("first.row")))
     )
     # What goes, and what is there more than once and stays once.
@@ -490,7 +492,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     marks = marks.select(F.col("doc_id").alias(f"{i}2"), F.col("row").alias(f"{r}2"), F.col("mark").alias(m))
     rows = docs.withColumns({i: F.col("doc_id").cast("long"), r: F.xxhash64(F.col("text").cast("string"))})
     same = F.col(i).eqNullSafe(F.col(f"{i}2")) & (F.col(r) == F.col(f"{r}2"))
-    found = rows.join(marks, same, "left")
+    found = rows.join(shuffled(marks), same, "left")
     once = found.where(F.col(m) == 2).dropDuplicates([i, r])
     return found.where(F.col(m).isNull()).union(once).select(*same_columns(docs))
 

@@ -69,6 +69,15 @@ def columns(df: DataFrame, **kinds: str) -> DataFrame:
     return df.select(*[F.col(f"`{name}`").cast(kind).alias(name) for name, kind in kinds.items()])
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the documents: never sent through the driver.
+
+    Spark sizes a table in the shared folder by its files, which may be a tenth of its
+    rows, and a broadcast takes several times the rows in the driver's memory.
+    """
+    return df.hint("merge")
+
+
 def parts(df: DataFrame, rows: int | None = None) -> int:
     """Shuffle partitions of the session."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

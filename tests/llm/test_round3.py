@@ -303,3 +303,23 @@ def test_parities_lose_no_similar_pair(spark):
     kept = {tuple(r) for r in jaccard.sifted(spark.createDataFrame(pairs, "hub long, member long"), marks).collect()}
     alike = {(a, b) for a, b in pairs if jaccard.similar(len(np.intersect1d(sets[a], sets[b])), len(sets[a]), len(sets[b]))}
     assert kept == alike and len(alike) == 40
+
+
+def test_joins_of_components_pass_nothing_through_the_driver(spark, plan_of, monkeypatch):
+    """Small tables as these are broadcast by Spark's size check; larger ones in compressed files were, too."""
+    from terracell.llm import graph, jaccard, store
+
+    plans = []
+
+    def seen(df, name="checkpoint"):
+        plans.append(plan_of(df))
+        return store.written(df, name)
+
+    for module in (jaccard, graph):
+        monkeypatch.setattr(module, "checkpointed", seen)
+    monkeypatch.setattr(jaccard, "written", seen)
+    docs = spark.createDataFrame([(i, f"a b c d e f g {i % 3} h i j k w{i // 20}") for i in range(60)], "doc_id long, text string")
+    out, kept = jaccard.join_documents(docs), jaccard.one_of_each(docs)
+    plans += [plan_of(out), plan_of(kept)]
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+    assert out.count() == 60 and kept.count() == out.select("component_id").distinct().count()
