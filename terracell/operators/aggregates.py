@@ -63,12 +63,18 @@ def exceedances_by_date(points: DataFrame, keys=("request_id",)) -> DataFrame:
 
 
 def exceedance_totals(points: DataFrame, keys=("request_id",)) -> DataFrame:
-    """Points and days above the trigger.  Days are counted first, then added up, so
-    no key gathers all of its points in one task."""
+    """Points and days above the trigger.  Each 64 days of a key are counted and marked in
+    one number first, then added up, so what is moved are two numbers for 64 days, and no
+    key gathers all of its points in one task."""
     keys = list(keys)
-    per_day = points.groupBy(*keys, "date").agg(F.count("*").alias("n"))
-    return per_day.groupBy(*keys).agg(
-        F.sum("n").alias("total_exceedances"), F.count("*").alias("total_trigger_dates")
+    day = F.unix_date("date")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), day.bitwiseAND(63))
+    marked = points.groupBy(*keys, F.shiftright(day, 6).alias("_days")).agg(
+        F.count("*").alias("n"), F.bit_or(bit).alias("days")
+    )
+    n_days = F.coalesce(F.bit_count("days"), F.lit(1))  # no day at all counts as one
+    return marked.groupBy(*keys).agg(
+        F.sum("n").alias("total_exceedances"), F.sum(n_days).alias("total_trigger_dates")
     )
 
 

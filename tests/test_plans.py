@@ -68,18 +68,18 @@ def test_many_spelled_out_requests_are_not_broadcast(spark, archive, plan_of):
     hot = areas.hot_tile_days(summary, periods, GRID)
     own = areas.hot_tile_days(summary, periods.filter("site_id < 10"), GRID)
     assert sorted(hot.collect()) == sorted(own.collect()) and hot.count() > 0
-    rows = _join_rows(hot)
+    rows = _rows_out(hot, "Join")
     assert rows and max(rows) <= summary.count()
 
 
-def _join_rows(df):
-    """Rows out of each join of a run that ends here."""
+def _rows_out(df, name, metric="numOutputRows"):
+    """Rows out of each node of that name in a run that ends here."""
     df.collect()
     plan, rows = df._jdf.queryExecution().executedPlan().finalPhysicalPlan(), []
 
     def walk(node):
-        if "Join" in node.nodeName():
-            rows.append(node.metrics().apply("numOutputRows").value())
+        if name in node.nodeName():
+            rows.append(node.metrics().apply(metric).value())
         inner = [node.plan()] if "QueryStage" in node.nodeName() else [node.children().apply(i) for i in range(node.children().size())]
         for child in inner:
             walk(child)
@@ -168,3 +168,18 @@ def test_many_requests_move_to_the_bucketed_archive(spark, plan_of, tmp_path, bu
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.sql(f"DROP TABLE {table}")
+
+
+def test_totals_move_words_of_days(spark):
+    """Days before 1970 and none at all, too; one row for 64 days of a request is shuffled, not 64."""
+    points = spark.range(0, 60_000, 1, 2).select(
+        (F.col("id") % 3).alias("request_id"),
+        F.when(F.col("id") % 500 != 7, F.date_add(F.lit("1969-11-01").cast("date"), (F.col("id") * F.col("id") % 640).cast("int"))).alias("date"),
+    )
+    totals = aggregates.exceedance_totals(points)
+    days = points.groupBy("request_id").agg(
+        F.count("*").alias("total_exceedances"), F.countDistinct("date").alias("n"), F.max(F.col("date").isNull().cast("int")).alias("none")
+    )
+    want = days.select("request_id", "total_exceedances", (F.col("n") + F.col("none")).alias("total_trigger_dates"))
+    assert sorted(totals.collect()) == sorted(want.collect())
+    assert 0 < max(_rows_out(totals, "Exchange", "shuffleRecordsWritten")) <= 2 * 3 * (640 // 64 + 3)
