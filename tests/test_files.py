@@ -111,3 +111,17 @@ def test_answers_are_lines_of_text(spark, tmp_path):
     for _ in range(2):  # a second run takes the place of the first
         requests.write_answers(df, str(tmp_path / "t"))
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "t")).collect()) == ['{"a":1}', '{"a":2}']
+
+
+def test_positions_move_no_rows(spark, tmp_path, plan_of):
+    """Tables over any broadcast threshold: only the order over files moves."""
+    path = str(tmp_path / "p")
+    requests.write_sorted(spark.range(1000), path, "id", files=5, format="parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        placed = requests.with_position(spark.read.parquet(path))
+        plan = plan_of(placed)
+        assert "SortMergeJoin" not in plan and plan.count("hashpartitioning(_file") == 1  # of the counts
+        assert placed.filter("id != position").count() == 0 and placed.count() == 1000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
