@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 from terracell.llm.graph import components
 from terracell.llm.jaccard import PERCENT, verified_stars, verified_tiles
 from terracell.llm.registry import query, read
-from terracell.llm.store import Scratch, checkpointed, columns, fresh, same_columns, written
+from terracell.llm.store import Scratch, checkpointed, columns, fresh, same_columns, shuffled, written
 from terracell.llm.words import chunks, mix, shingle_hashes, text_bytes, word_hashes
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.99
@@ -177,12 +177,12 @@ def shared_bands(rows: DataFrame) -> DataFrame:
 def _apart(shared: DataFrame, joined: DataFrame) -> DataFrame:
     """(family, node, component, n) of the bands that still hold several components."""
     labelled = checkpointed(
-        shared.join(joined, "node", "left").select(F.col("key").alias("family"), "node", F.coalesce("component", "node").alias("component"))
+        shared.join(shuffled(joined), "node", "left").select(F.col("key").alias("family"), "node", F.coalesce("component", "node").alias("component"))
     )
     open_ = labelled.groupBy("family").agg(
         F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")
     )
-    return labelled.join(open_.where("low != high AND n > 2").select("family", "n"), "family")
+    return labelled.join(shuffled(open_.where("low != high AND n > 2").select("family", "n")), "family")
 
 
 def _links(keyed: DataFrame, where: DataFrame, bands: int, values: int) -> DataFrame:
@@ -194,9 +194,9 @@ def _links(keyed: DataFrame, where: DataFrame, bands: int, values: int) -> DataF
     pairs = shared.where("hub != node").select("hub", F.col("node").alias("member")).distinct()
     needed = shared.select("node").distinct()
     # One occurrence of each is enough; a document is asked for all that it is the place of.
-    place = where.join(needed, "node").groupBy("node").agg(F.min(F.struct("id", "row")).alias("at"))
+    place = where.join(shuffled(needed), "node").groupBy("node").agg(F.min(F.struct("id", "row")).alias("at"))
     asked = place.groupBy("at").agg(F.collect_list("node").alias("asked")).select("at.id", "at.row", "asked")
-    sets = written(_asked_sets(keyed.join(asked, ["id", "row"])).dropDuplicates(["node"]), "paragraph-sets")
+    sets = written(_asked_sets(keyed.join(shuffled(asked), ["id", "row"])).dropDuplicates(["node"]), "paragraph-sets")
     links = checkpointed(verified_stars(pairs, sets))
     return links.union(checkpointed(verified_tiles(_apart(shared, components(links)), sets)))
 
@@ -212,13 +212,13 @@ def repeated_paragraphs(keyed: DataFrame) -> DataFrame:
             joined = inner.keep(checkpointed(components(_links(keyed, where, *tuned_bands()))))
         counts = where.groupBy("node").agg(F.count("*").alias("n"))
         labels = checkpointed(
-            counts.join(joined, "node", "left")
+            counts.join(shuffled(joined), "node", "left")
             .where("n > 1 OR component IS NOT NULL")
             .select("node", F.coalesce("component", "node").alias("component"))
         )
-        found = checkpointed(where.join(labels, "node").select("id", "row", "place", "component"))
+        found = checkpointed(where.join(shuffled(labels), "node").select("id", "row", "place", "component"))
         first = found.groupBy("component").agg(F.min(F.struct("id", "row", "place")).alias("first"))
-        later = found.join(first, "component").where("struct(id, row, place) != first")
+        later = found.join(shuffled(first), "component").where("struct(id, row, place) != first")
         # As many places as the document has paragraphs.
         places = later.groupBy("id", "row").agg(F.collect_set("place").alias("places"))
         return scratch.keep(checkpointed(places))
@@ -273,7 +273,7 @@ def without_repeats(docs: DataFrame, run_words: int = RUN_WORDS, spans: str = "r
     places = repeated_paragraphs(_keyed(docs)).select(F.col("id").alias(f"{i}2"), F.col("row").alias(f"{r}2"), F.col("places").alias(p))
     rows = docs.withColumns({i: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), r: F.xxhash64(F.col("text").cast("string"))})
     same = (F.col(i) == F.col(f"{i}2")) & (F.col(r) == F.col(f"{r}2"))
-    joined = rows.join(places, same, "left").select(*same_columns(docs), p)
+    joined = rows.join(shuffled(places), same, "left").select(*same_columns(docs), p)
     # By place, as the names may be such that no column can be asked for by them.
     joined = joined.toDF(*[f"c{k}" for k in range(len(joined.columns))])
     text_at, kept = docs.columns.index("text"), joined.columns[:-1]

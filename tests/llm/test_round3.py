@@ -323,3 +323,23 @@ def test_joins_of_components_pass_nothing_through_the_driver(spark, plan_of, mon
     plans += [plan_of(out), plan_of(kept)]
     assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
     assert out.count() == 60 and kept.count() == out.select("component_id").distinct().count()
+
+
+def test_joins_of_passages_pass_nothing_through_the_driver(spark, plan_of, monkeypatch):
+    from terracell.llm import graph, jaccard, passages, store
+
+    plans = []
+
+    def seen(df, name="checkpoint"):
+        plans.append(plan_of(df))
+        return store.written(df, name)
+
+    for module in (jaccard, graph, passages):
+        monkeypatch.setattr(module, "checkpointed", seen)
+    monkeypatch.setattr(passages, "written", seen)
+    line = " ".join(f"word{k}" for k in range(40)) + "\n"
+    docs = spark.createDataFrame([(i, f"Start {i}.\n{line}End {i}.") for i in range(3)], "doc_id long, text string")
+    out = passages.without_repeats(docs)
+    plans.append(plan_of(out))
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+    assert [r.text for r in out.orderBy("doc_id").collect()] == [f"Start 0.\n{line}End 0.", "Start 1.\nEnd 1.", "Start 2.\nEnd 2."]
